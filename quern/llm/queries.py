@@ -54,10 +54,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, _read(spark, sf_dir, "documents"), tokenizer_path(), limit=4096)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ngram_join import jaccard_components
+
+    return jaccard_components(spark, _read(spark, sf_dir, "documents"), k=3, p=9, q=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
