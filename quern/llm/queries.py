@@ -48,6 +48,12 @@ SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import taken_words
+
+    return taken_words(spark, _read(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[3, 1, 2], share=1.5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_counts import count_tokens
 
@@ -63,6 +69,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
+    "op4_source_mix": op4_source_mix,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
 }
