@@ -54,6 +54,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(spark, _read(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[3, 1, 2], share=1.5)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language_id import identify, learn
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(spark, docs, learn(spark, docs))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality import score_quality
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
     "op4_source_mix": op4_source_mix,
+    "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
