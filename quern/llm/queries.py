@@ -68,6 +68,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, docs, docs, _read(spark, sf_dir, "labels"), cut=0.3)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pii import digest, find_pii
+
+    return digest(find_pii(spark, _read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_counts import count_tokens
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
 }
