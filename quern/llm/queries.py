@@ -48,6 +48,12 @@ SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(spark, _read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import taken_words
 
@@ -86,15 +92,33 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _read(spark, sf_dir, "documents"), k=3, p=9, q=10)
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.topk_search import top_k
+
+    return top_k(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
+    "op10_topk_search": op10_topk_search,
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op10_topk_search": OP10_SQL}
