@@ -277,3 +277,28 @@ def jaccard_components(
     by_class = ids.join(least, "component").select(F.col("id").alias("class"), "component_id")
     out = sets.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(
+    spark: SparkSession, docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of docs that stand for their component (its least doc_id), with all their columns.
+
+    Of repeated rows with one id and text a single one stays; rows that share
+    an id but not the text stay each. Rows without id stay unless a row with an
+    id has their text, one for each text. Rows without words are groups of
+    their own.
+    """
+    found = jaccard_components(spark, docs, k, p, q, doc_id, text)
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
+    heads = materialize(spark, heads, "heads").withColumnRenamed("doc_id", "__id")
+    here = F.col(f"`{doc_id}`").cast("bigint")
+    if heads.filter("__n > 1 or __id is null").isEmpty():
+        return docs.join(heads, here == F.col("__id"), "left_semi")
+    once = docs.join(heads.filter("__n = 1 and __id is not null"), here == F.col("__id"), "left_semi")
+    more = docs.join(heads.filter("__n > 1 and __id is not null"), here == F.col("__id"), "left_semi").dropDuplicates([doc_id, text])
+    texts = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    known = docs.filter(here.isNotNull()).select(texts.alias("__text")).distinct()
+    lost = docs.filter(here.isNull()).dropDuplicates([text]).withColumn("__own", texts)
+    lost = lost.join(known, F.col("__own") == F.col("__text"), "left_anti").drop("__own")
+    return once.unionByName(more).unionByName(lost)

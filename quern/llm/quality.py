@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,10 +154,26 @@ def learn(spark: SparkSession, labelled: DataFrame, labels: DataFrame, cut: floa
     """The model of documents(doc_id, text) and their labels."""
     few = _training_labels(labels)
     read = labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = read.join(few, "doc_id", "left_semi")
+    rows = read.join(F.broadcast(few), "doc_id", "left_semi")  # TRAINING_ROWS at most
     return fit_from(spark, rows.mapInArrow(_extract, "doc_id bigint, features array<double>"), labels, cut)
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs(doc_id, text, ...) whose score reaches cut, with all their columns.
+
+    Learned as in learn(); there is no shuffle of docs. Without labels of both
+    kinds nothing is rejected.
+    """
+    model = learn(spark, docs, labels, cut)
+
+    @F.pandas_udf("array<double>")
+    def extract(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts])
+
+    scored = docs.withColumn("__features", extract(F.col(f"`{text}`").cast("string")))
+    return scored.filter(model.score(F.col("__features")) >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _training_labels(labels: DataFrame) -> DataFrame:
     ok = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     ok = ok.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -164,7 +181,7 @@ def _training_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_from(spark: SparkSession, known: DataFrame, labels: DataFrame, cut: float) -> Ranking:
-    rows = known.join(_training_labels(labels), "doc_id").select("features", "quality").limit(2 * TRAINING_ROWS).toPandas()
+    rows = known.join(F.broadcast(_training_labels(labels)), "doc_id").select("features", "quality").limit(2 * TRAINING_ROWS).toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), cut)
     x = np.stack(rows["features"].to_numpy())
