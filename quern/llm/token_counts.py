@@ -1,11 +1,14 @@
 """Token counts: pieces are counted once for each distinct pre-token.
 
-1. Every task turns its documents into pre-token frequencies, and groups those
-   of a few MB of text by pre-token: (pre-token, rows, frequencies).
-2. These are dealt and sorted by pre-token, so that the frequency lists of a
-   pre-token meet; the library is asked once for its number of pieces, and the
-   merge join multiplies. No ids outlive that call.
-3. The products are summed for each document.
+A task takes its documents in blocks of some MB of text. Of each document it
+makes pre-token frequencies; the block's distinct pre-tokens, but for those
+that the worker remembers, are given to the library once; and the counts are
+joined to the frequencies by a hash table and summed for each document. No ids
+outlive the library's call.
+
+The join is local to a block as the pairs (document, pre-token) outnumber the
+bytes of many a text: to deal them over the cluster by pre-token and the
+products back by document moved more than twice the input.
 """
 
 from __future__ import annotations
@@ -19,130 +22,72 @@ from pyspark.sql import functions as F
 
 from quern.llm.sentencepiece_codec import SPACE, read_model, splitter
 
-#: Characters of text whose frequencies are grouped together, and (row, pre-token) pairs in one list at most.
-BLOCK_CHARS = 8_000_000
-LIST_ENTRIES = 4096
+#: Characters of text in a block, and counts that a worker remembers.
+BLOCK_CHARS = 4_000_000
+REMEMBERED = 400_000
 
-_FREQS = "pretoken string, rows array<bigint>, freqs array<int>, doc_id bigint, n_bytes bigint"
-_PARTS = "row bigint, n bigint, doc_id bigint, n_bytes bigint"
 
+class Counts:
+    """Number of pieces of pre-tokens, as the sentencepiece library gives them."""
 
-def _processor(model: bytes):
-    """The library's processor, and how to count a pre-token with it."""
-    import sentencepiece
+    def __init__(self, model: bytes):
+        import sentencepiece
 
-    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-    pieces = [lib.id_to_piece(i) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
-    split = splitter(pieces)
-    alone = len(split(SPACE + "\n" + "a")) == 3  # a line end keeps what follows apart from the prefix
-    return lib, split, alone
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        skipped = (self.lib.is_control, self.lib.is_unknown, self.lib.is_byte)
+        split = splitter([self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()) if not any(f(i) for f in skipped)])
+        # A line end that nothing merges with keeps a pre-token apart from the prefix that the library puts first.
+        self.apart = "\n" if len(split(SPACE + "\n" + "a")) == 3 and self.lib.encode("") == [] else ""
+        self.words = (lambda t: split(SPACE + t.replace(" ", SPACE)) if t else []) if self.apart else (lambda t: [t] if t else [])
+        self.base = len(self.lib.encode(self.apart))
+        self.known: dict[str, int] = {}
+
+    def count(self, words: set[str]) -> None:
+        """Puts all the words into the table; it is emptied before if it would grow too large."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
+            ids = self.lib.encode([self.apart + w for w in some], num_threads=1)
+            self.known.update(zip(some, (len(x) - self.base for x in ids), strict=True))
+
+    def sums(self, texts: list[str]) -> list[int]:
+        """Tokens of each text of a block."""
+        freqs = [Counter(self.words(t)) for t in texts]
+        self.count(set().union(*freqs))
+        known = self.known
+        return [sum([n * known[w] for w, n in f.items()]) for f in freqs]
+
+
+_WORKER: dict[bytes, Counts] = {}
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs.
 
-    docs should be a stored table: rows are told apart by their place in it, so
-    that repeated rows, and rows with the same or no id, are counted each for
-    itself. A null text is an empty one: no bytes, no tokens. Texts of any
-    length are one row; other columns of docs aren't read.
-
-    The shuffled rows are pre-tokens of some MB of text, so that even the most
-    frequent one has a row for such a block at most; lists longer than
-    LIST_ENTRIES go to several rows. The model, size-checked, is broadcast.
+    A null text is an empty one: no bytes, no tokens. Repeated rows, and rows
+    with the same or no id, are counted each for itself; texts of any length
+    are one row; other columns of docs aren't read. There is no shuffle, and an
+    empty table gives an empty result. The model, size-checked, is broadcast.
     """
     model = spark.sparkContext.broadcast(read_model(model_path))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        _, split, alone = _processor(model.value)
-        words = (lambda t: split(SPACE + t.replace(" ", SPACE))) if alone else (lambda t: [t])
-        row = TaskContext.get().partitionId() << 40
-        found: dict[str, tuple[list, list]] = {}
-        infos: list[tuple] = []
-        chars = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model.value not in _WORKER:
+            _WORKER.clear()
+            _WORKER[model.value] = Counts(model.value)
+        counts = _WORKER[model.value]
         for batch in batches:
+            start, texts, chars = 0, [], 0
             for k in range(batch.num_rows):
-                t = batch.column(1)[k].as_py() or ""
-                infos.append((row, batch.column(0)[k].as_py(), len(t.encode("utf-8", "surrogatepass"))))
-                for word, n in Counter(words(t) if t else ()).items():
-                    lists = found.get(word)
-                    if lists is None:
-                        lists = found[word] = ([], [])
-                    lists[0].append(row)
-                    lists[1].append(n)
-                row += 1
-                chars += len(t) + 100
-                if chars >= BLOCK_CHARS:
-                    yield from _blocks(found, infos)
-                    found, infos, chars = {}, [], 0
-        yield from _blocks(found, infos)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        lib, _, alone = _processor(model.value)
-        base = len(lib.encode("\n")) if alone else 0
-        prefix = "\n" if alone else ""
-        last, last_n = None, 0
-        for batch in batches:
-            words = batch.column(0)
-            info = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            runs = words.fill_null("").to_pylist()
-            new = [w for k, w in enumerate(runs) if not info[k] and w != (runs[k - 1] if k and not info[k - 1] else last)]
-            pieces = lib.encode([prefix + w for w in new], num_threads=1) if new else []
-            numbers = {w: len(ids) - base for w, ids in zip(new, pieces, strict=True)}
-            numbers.setdefault(last, last_n)
-            per = np.array([0 if i else numbers[w] for w, i in zip(runs, info, strict=True)], np.int64)
-            if runs and not info[-1]:
-                last, last_n = runs[-1], int(per[-1])
-            rows = batch.column(1)
-            sizes = np.diff(rows.offsets.to_numpy())
-            flat = rows.flatten().to_numpy(zero_copy_only=False)
-            products = np.repeat(per, sizes) * batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            keys, where = np.unique(flat, return_inverse=True)
-            sums = np.bincount(where, weights=products, minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-            none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums), none, none], names=["row", "n", "doc_id", "n_bytes"])
-            if info.any():
-                at = np.flatnonzero(info)
-                own = batch.take(pa.array(at))
-                zero = pa.array(np.zeros(len(at), np.int64))
-                yield pa.RecordBatch.from_arrays([own.column(1).flatten(), zero, own.column(3), own.column(4)], names=["row", "n", "doc_id", "n_bytes"])
-
-    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    freqs = read.mapInArrow(frequencies, _FREQS)
-    # rows that describe a document hold no pre-token; they are dealt by document
-    key = F.when(F.col("n_bytes").isNull(), F.xxhash64("pretoken")).otherwise(F.xxhash64(F.element_at("rows", 1)))
-    dealt = freqs.withColumn("at", key).repartition("at").sortWithinPartitions("pretoken").drop("at")
-    parts = dealt.mapInArrow(counted, _PARTS)
-    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def _blocks(found: dict[str, tuple[list, list]], infos: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The frequency lists, a bounded number to a batch, and a row for each document."""
-    import numpy as np
-
-    names = ["pretoken", "rows", "freqs", "doc_id", "n_bytes"]
-    words: list[str] = []
-    rows: list[list] = []
-    freqs: list[list] = []
-    for word, (r, f) in found.items():
-        for i in range(0, len(r), LIST_ENTRIES):
-            words.append(word)
-            rows.append(r[i : i + LIST_ENTRIES])
-            freqs.append(f[i : i + LIST_ENTRIES])
-    for i in range(0, len(words), 20_000):
-        some = rows[i : i + 20_000]
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32))
-        flat = lambda lists, kind: pa.array([y for x in lists for y in x], kind)
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words[i : i + 20_000], pa.string()), pa.ListArray.from_arrays(offsets, flat(some, pa.int64())), pa.ListArray.from_arrays(offsets, flat(freqs[i : i + 20_000], pa.int32())), none, none], names=names
-        )
-    if infos:
-        one = pa.array(np.arange(len(infos) + 1, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(infos), pa.string()), pa.ListArray.from_arrays(one, pa.array([x[0] for x in infos], pa.int64())), pa.ListArray.from_arrays(one, pa.array(np.zeros(len(infos), np.int32))), pa.array([x[1] for x in infos], pa.int64()), pa.array([x[2] for x in infos], pa.int64())], names=names
-        )
+                texts.append(batch.column(1)[k].as_py() or "")
+                chars += len(texts[-1])
+                if chars >= BLOCK_CHARS or k == batch.num_rows - 1:
+                    sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), sizes, pa.array(counts.sums(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                    start, texts, chars = k + 1, [], 0
+
+    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    counted = read.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
