@@ -250,7 +250,7 @@ def micros_to_time(us: str) -> str:
 
 FUNCTIONS["TIME"] = lambda x: micros_to_time(time_to_micros(x))
 FUNCTIONS["TIME_TO_SEC"] = lambda x: f"({time_to_micros(x)} div 1000000)"
-FUNCTIONS["SEC_TO_TIME"] = lambda x: micros_to_time(f"cast(({x}) * 1000000 AS bigint)")
+FUNCTIONS["SEC_TO_TIME"] = lambda x: micros_to_time(f"cast(cast({x} AS decimal(18, 6)) * 1000000 AS bigint)")
 FUNCTIONS["MAKETIME"] = lambda h, m, s: f"(CASE WHEN {m} BETWEEN 0 AND 59 AND {s} >= 0 AND {s} < 60 THEN {micros_to_time(f'(CASE WHEN {h} < 0 THEN -1 ELSE 1 END * cast(cast(abs({h}) * 3600 + {m} * 60 + {s} AS decimal(18, 6)) * 1000000 AS bigint))')} END)"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.sources.versioned import DELETED, VERSION, latest
 
-ENVELOPE = T.StructType.fromDDL("table string, op string, txn string, ordinal long, version long, before string, after string")
+ENVELOPE = T.StructType([T.StructField(name, T.LongType() if name in ("ordinal", "version") else T.StringType()) for name in ("table", "op", "txn", "ordinal", "version", "before", "after")])
 
 
 def mutations(envelopes: DataFrame, schema: T.StructType, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +31,7 @@ def mutations(envelopes: DataFrame, schema: T.StructType, key: list[str]) -> tup
     keyed = lambda r: F.lit(True) if not key else sum_all([F.col(f"{r}.{c}").isNotNull() for c in key])
     good = F.col("op").isin("c", "u", "d") & (~need_after | F.col("_a").isNotNull() & keyed("_a")) & (~need_before | F.col("_b").isNotNull() & keyed("_b"))
     if not key:
-        good = (F.col("op") == "c") & F.col("_a").isNotNull()
+        good = (F.col("op") == "c") & F.try_parse_json("after").isNotNull()
     good = F.coalesce(good, F.lit(False)) & F.col("version").isNotNull()
     bad = parsed.filter(~good).select(*envelopes.columns)
     ok = parsed.filter(good)
