@@ -170,7 +170,11 @@ def _joined(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of find_pii()'s spans."""
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{KINDS[i]}") for i in range(4)]
+
+    def of(kind: int) -> Callable[[Column], Column]:
+        return lambda s: s["kind"] == kind
+
+    counts = [F.size(F.filter("spans", of(i))).cast("bigint").alias(f"n_{KINDS[i]}") for i in range(4)]
     every = F.array_sort(F.concat("spans", "added"))
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("bigint").alias("n_term"))
 
