@@ -25,6 +25,8 @@ BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3)
 #: Rows of a language that the driver learns from on average, and languages, at most.
 TRAINING_ROWS, LANGUAGES = 3000, 1000
 EPOCHS, BATCH, RATE = 12, 64, 0.5
+#: Few rows are gone through more often, for so many steps at least.
+STEPS = 1500
 #: Share of the calibration rows that the rejection threshold keeps.
 KEEP = 0.995
 #: Code points of a text that are hashed together.
@@ -103,8 +105,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int =
     order = rng.permutation(len(bags))
     held, seen = (order[: len(order) // 8], order[len(order) // 8 :]) if len(order) >= 16 else (order, order)
     e, w, c = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (WIDTH, len(names))), np.zeros(len(names))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS // -(-len(seen) // BATCH)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(seen)
         for i in range(0, len(seen), BATCH):
             some = seen[i : i + BATCH]
