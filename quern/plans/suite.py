@@ -174,6 +174,11 @@ both("cte_recursive", "WITH RECURSIVE seq(n) AS (SELECT 1 UNION ALL SELECT n + 1
 both("values_rows", "SELECT * FROM (VALUES ROW(1, 'a'), ROW(2, 'b')) AS t(k, v)", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v)")
 both("system_variables", "SELECT @@autocommit AS a, @@lower_case_table_names AS l, 0x4142 AS b", "SELECT 1 AS a, 0 AS l, 'AB'::BLOB AS b")
 
+both("json_table_text", "SELECT e.event_id, jt.ord, jt.k, jt.h FROM events e, JSON_TABLE(CONCAT('[', e.props, ',{}]'), '$[*]' COLUMNS (ord FOR ORDINALITY, k INT PATH '$.k' DEFAULT '-1' ON EMPTY, h INT EXISTS PATH '$.k')) AS jt", "SELECT event_id, CAST(ord AS INTEGER) AS ord, CASE ord WHEN 1 THEN CAST(props ->> '$.k' AS INTEGER) ELSE -1 END AS k, CASE ord WHEN 1 THEN 1 ELSE 0 END AS h FROM events, (VALUES (1), (2)) t(ord)")
+both("json_table_text_nested", "SELECT e.event_id, jt.a, jt.b FROM events e LEFT JOIN JSON_TABLE(CONCAT('{\"a\": [1, 2], \"b\": [', e.user_id, ']}'), '$' COLUMNS (NESTED PATH '$.a[*]' COLUMNS (a BIGINT PATH '$'), NESTED PATH '$.b[*]' COLUMNS (b BIGINT PATH '$'))) AS jt ON TRUE", "SELECT event_id, CAST(a AS BIGINT) AS a, CASE WHEN a IS NULL THEN user_id END AS b FROM events, (VALUES (1), (2), (NULL)) t(a)")
+both("numeric_truth", "SELECT c_custkey, IF(MOD(c_custkey, 2), 'odd', 'even') AS v FROM customer WHERE FIND_IN_SET(c_mktsegment, 'BUILDING,MACHINERY') AND 1 AND NOT INSTR(c_name, '7')", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'odd' ELSE 'even' END AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name NOT LIKE '%7%'")
+both("straight_subquery_ops", "SELECT COUNT(*) AS n FROM orders WHERE o_orderkey BETWEEN 5 AND 50 AND 1 = 1")
+
 # --- strings
 fn("concat", "CONCAT(c_name, '-', c_mktsegment)")
 fn("concat_ws", "CONCAT_WS('/', c_name, NULLIF(c_mktsegment, 'BUILDING'), 'x')")
