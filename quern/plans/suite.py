@@ -369,3 +369,29 @@ for _n, (_e, _o) in {
     "st_asgeojson": ("ST_ASGEOJSON(POINT(1, 2))", "'{\"type\": \"Point\", \"coordinates\": [1.0, 2.0]}'"), "st_distance_sphere": ("ROUND(ST_DISTANCE_SPHERE(POINT(0, 0), POINT(0, 90)))", "CAST(10007521 AS DOUBLE)"), "st_geomfromwkb": ("ST_ASTEXT(ST_GEOMFROMWKB(ST_ASWKB(POINT(3, 4))))", "'POINT(3 4)'"),
 }.items():
     fn(_n, _e, _o)
+_HOLED = "ST_GEOMFROMTEXT('POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,2 1,2 2,1 1))')"
+_LINE, _SQUARE = "ST_GEOMFROMTEXT('LINESTRING(0 0,1 5,3 4)')", "ST_GEOMFROMTEXT('POLYGON((0 0,4 0,4 4,0 4,0 0))')"
+for _n, (_e, _o) in {
+    "mbrdisjoint": (f"MBRDISJOINT({_SQUARE}, POINT(5, 5))", "1"), "mbrequals": (f"MBREQUALS({_SQUARE}, ST_GEOMFROMTEXT('LINESTRING(0 0,4 4)'))", "1"), "mbrintersects": (f"MBRINTERSECTS({_SQUARE}, {_LINE})", "1"), "mbrwithin": (f"MBRWITHIN(POINT(1, 1), {_SQUARE})", "1"),
+    "st_asbinary": (f"LENGTH(ST_ASBINARY({_LINE}))", "57"), "st_aswkt": (f"ST_ASWKT({_LINE})", "'LINESTRING(0 0,1 5,3 4)'"), "st_dimension": (f"ST_DIMENSION({_SQUARE})", "2"), "st_startpoint": (f"ST_ASTEXT(ST_STARTPOINT({_LINE}))", "'POINT(0 0)'"), "st_endpoint": (f"ST_ASTEXT(ST_ENDPOINT({_LINE}))", "'POINT(3 4)'"),
+    "st_exteriorring": (f"ST_ASTEXT(ST_EXTERIORRING({_HOLED}))", "'LINESTRING(0 0,9 0,9 9,0 9,0 0)'"), "st_interiorringn": (f"ST_ASTEXT(ST_INTERIORRINGN({_HOLED}, 1))", "'LINESTRING(1 1,2 1,2 2,1 1)'"), "st_numinteriorrings": (f"ST_NUMINTERIORRINGS({_HOLED})", "1"), "st_numinteriorring": (f"ST_NUMINTERIORRING({_SQUARE})", "0"),
+    "st_geometryn": ("ST_ASTEXT(ST_GEOMETRYN(ST_GEOMFROMTEXT('MULTIPOINT((1 1),(2 2))'), 2))", "'POINT(2 2)'"), "st_numgeometries": ("ST_NUMGEOMETRIES(ST_GEOMFROMTEXT('GEOMETRYCOLLECTION(POINT(1 1),LINESTRING(0 0,1 1))'))", "2"), "st_isclosed": ("ST_ISCLOSED(ST_GEOMFROMTEXT('LINESTRING(0 0,1 1,0 0)'))", "1"), "st_isempty": ("ST_ISEMPTY(ST_GEOMFROMTEXT('GEOMETRYCOLLECTION EMPTY'))", "1"),
+    "st_latitude": ("ST_LATITUDE(ST_SRID(POINT(7, 8), 4326))", "CAST(8 AS DOUBLE)"), "st_longitude": ("ST_LONGITUDE(ST_SRID(POINT(7, 8), 4326))", "CAST(7 AS DOUBLE)"),
+    **{f"st_{w}fromtext": (f"ST_ASTEXT(ST_{w.upper()}FROMTEXT('{t}'))", f"'{t}'") for w, t in {"geometry": "POINT(1 2)", "point": "POINT(1 2)", "line": "LINESTRING(0 0,1 1)", "linestring": "LINESTRING(0 0,1 1)", "poly": "POLYGON((0 0,1 0,1 1,0 0))", "polygon": "POLYGON((0 0,1 0,1 1,0 0))", "mpoint": "MULTIPOINT((1 1),(2 2))", "multipoint": "MULTIPOINT((1 1),(2 2))", "mline": "MULTILINESTRING((0 0,1 1),(2 2,3 3))", "multilinestring": "MULTILINESTRING((0 0,1 1),(2 2,3 3))", "mpoly": "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))", "multipolygon": "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))", "geomcoll": "GEOMETRYCOLLECTION(POINT(1 1))", "geometrycollection": "GEOMETRYCOLLECTION(POINT(1 1))"}.items()},
+    **{f"st_{w}fromwkb": (f"ST_ASTEXT(ST_{w.upper()}FROMWKB(ST_ASWKB(ST_GEOMFROMTEXT('{t}'))))", f"'{t}'") for w, t in {"geometry": "POINT(1 2)", "point": "POINT(1 2)", "line": "LINESTRING(0 0,1 1)", "linestring": "LINESTRING(0 0,1 1)", "poly": "POLYGON((0 0,1 0,1 1,0 0))", "polygon": "POLYGON((0 0,1 0,1 1,0 0))"}.items()},
+    "json_extract_paths": ("""JSON_EXTRACT('{"a": [1, 2, {"b": 3}]}', '$.a[last].b', '$.a[0 to 1]')""", "'[3, 1, 2]'"), "json_extract_deep": ("""JSON_EXTRACT('{"a": {"k": 1}, "k": 2}', '$**.k')""", "'[2, 1]'"),
+    "session_constants": ("CONCAT(CHARSET('a'), COLLATION('a'), COERCIBILITY('a'), CURRENT_ROLE(), LAST_INSERT_ID(), VERSION(), SCHEMA())", "'utf8mb4utf8mb4_0900_ai_ci4NONE08.4.0-querndefault'"), "user": ("USER() = CURRENT_USER() AND SESSION_USER() = SYSTEM_USER()", "TRUE"),
+    "clocks": ("UTC_DATE() >= '2020-01-01' AND CURRENT_DATE() >= '2020-01-01' AND UTC_TIMESTAMP() > '2020-01-01' AND SYSDATE() > '2020-01-01' AND LOCALTIMESTAMP > '2020-01-01' AND CURTIME() <= '23:59:59' AND UTC_TIME() >= '00:00:00' AND CURRENT_TIMESTAMP() > '2020-01-01'", "TRUE"), "uuid_short": ("UUID_SHORT() > 0", "TRUE"),
+}.items():
+    fn(_n, _e, _o)
+
+# --- shapes of the filter and commerce workloads, re-cast on these tables
+both("filter_point", "SELECT event_id, event_type, value FROM events WHERE event_id = 77")
+both("filter_recent", "SELECT event_id, ts FROM events WHERE ts >= '2024-01-20 00:00:00' AND event_type <> 'view' ORDER BY ts DESC, event_id LIMIT 50")
+both("filter_or_ranges", "SELECT COUNT(*) AS n, ROUND(SUM(value), 2) AS s FROM events WHERE (value BETWEEN 1 AND 5) OR (value > 90 AND event_type IN ('click', 'error')) OR user_id = 3")
+both("product_performance", "SELECT p.p_brand, COUNT(DISTINCT o.o_orderkey) AS n_orders, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, RANK() OVER (ORDER BY SUM(l.l_extendedprice * (1 - l.l_discount)) DESC) AS pos FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus <> 'P' GROUP BY p.p_brand", "SELECT p.p_brand, COUNT(DISTINCT o.o_orderkey) AS n_orders, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, CAST(RANK() OVER (ORDER BY SUM(l.l_extendedprice * (1 - l.l_discount)) DESC) AS INTEGER) AS pos FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus <> 'P' GROUP BY p.p_brand")
+both("regional_cohorts", "WITH firsts AS (SELECT o_custkey, MIN(o_orderdate) AS first_at FROM orders GROUP BY o_custkey) SELECT r.r_name, YEAR(f.first_at) AS cohort, COUNT(DISTINCT f.o_custkey) AS customers, ROUND(SUM(o.o_totalprice), 2) AS revenue FROM firsts f JOIN orders o ON o.o_custkey = f.o_custkey JOIN customer c ON c.c_custkey = f.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name, cohort", "WITH firsts AS (SELECT o_custkey, MIN(o_orderdate) AS first_at FROM orders GROUP BY o_custkey) SELECT r.r_name, CAST(YEAR(f.first_at) AS INTEGER) AS cohort, COUNT(DISTINCT f.o_custkey) AS customers, ROUND(SUM(o.o_totalprice), 2) AS revenue FROM firsts f JOIN orders o ON o.o_custkey = f.o_custkey JOIN customer c ON c.c_custkey = f.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY ALL")
+both("customer_latest_order", "SELECT c.c_custkey, (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS latest FROM customer c")
+both("interval_join", "SELECT s.s_suppkey, COUNT(*) AS n FROM supplier s JOIN part p ON p.p_retailprice BETWEEN s.s_acctbal / 10 AND s.s_acctbal / 10 + 200 GROUP BY s.s_suppkey")
+both("gap_and_island", "SELECT o_custkey, COUNT(*) AS orders_n, SUM(fresh) AS bursts FROM (SELECT o_custkey, CASE WHEN LAG(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL OR DATEDIFF(o_orderdate, LAG(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) > 90 THEN 1 ELSE 0 END AS fresh FROM orders) t GROUP BY o_custkey", "SELECT o_custkey, COUNT(*) AS orders_n, CAST(SUM(fresh) AS BIGINT) AS bursts FROM (SELECT o_custkey, CASE WHEN LAG(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL OR date_diff('day', CAST(LAG(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE), CAST(o_orderdate AS DATE)) > 90 THEN 1 ELSE 0 END AS fresh FROM orders) t GROUP BY o_custkey")
+both("rollup_having", "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_mktsegment, c_nationkey WITH ROLLUP HAVING COUNT(*) > 20", "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey) HAVING COUNT(*) > 20")
