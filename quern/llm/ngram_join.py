@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,47 +169,86 @@ def _sketches(k: int, p: int, q: int):
     return run
 
 
-def _tile(p: int, q: int, forest: bool):
-    """Pairs of a tile in different components that the sketches let through."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class")
-        left = pdf[pdf["chunk"] == pdf["ti"]]
-        right = left if pdf["ti"].iloc[0] == pdf["tj"].iloc[0] else pdf[pdf["chunk"] == pdf["tj"]]
-        same = right is left
-        x, y = (np.stack([np.frombuffer(s, np.uint64) for s in side["sketch"]]) if len(side) else np.zeros((0, 1), np.uint64) for side in (left, right))
-        n_x, n_y = left["size"].to_numpy(), right["size"].to_numpy()
-        c_x, c_y = left["component"].to_numpy(), right["component"].to_numpy()
-        k_x, k_y = left["class"].to_numpy(), right["class"].to_numpy()
-        found = []
-        for i in range(len(left)):
-            open_ = c_y != c_x[i]
-            if same:
-                open_[: i + 1] = False
-            at = np.flatnonzero(open_)
-            if len(at):
-                far = np.bitwise_count(x[i] ^ y[at]).sum(axis=1, dtype=np.int64)
-                near = far <= (n_x[i] + n_y[at]) * (q - p) // (q + p)
-                found += [(h, k_x[i], k_y[j], c_x[i], c_y[j]) for h, j in zip(far[near], at[near], strict=True)]
-        if forest:
-            up: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while up.get(c, c) != c:
-                    c = up[c] = up.get(up[c], up[c])
-                return c
-
-            kept = []
-            for h, a, b, ca, cb in sorted(found):
-                if (ra := root(ca)) != (rb := root(cb)):
-                    up[ra] = rb
-                    kept.append((h, a, b, ca, cb))
-            found = kept
-        return pd.DataFrame({"a": [min(f[1], f[2]) for f in found], "b": [max(f[1], f[2]) for f in found]}, dtype="int64")
+def _near_pairs(left: list[tuple], right: list[tuple] | None, p: int, q: int) -> list[tuple]:
+    """(distance, a, b, components) of the pairs in different components that the sketches let through.
+
+    Rows are (class, component, size, sketch); without right all pairs of left.
+    Few pairs are compared as integers, many as arrays.
+    """
+    found = []
+    other = left if right is None else right
+    if len(left) * len(other) <= 256:
+        ints = [int.from_bytes(r[3]) for r in left]
+        others = ints if right is None else [int.from_bytes(r[3]) for r in other]
+        for i, x in enumerate(left):
+            for j in range(i + 1 if right is None else 0, len(other)):
+                y = other[j]
+                if x[1] != y[1]:
+                    far = (ints[i] ^ others[j]).bit_count()
+                    if far <= (x[2] + y[2]) * (q - p) // (q + p):
+                        found.append((far, x[0], y[0], x[1], y[1]))
+        return found
+    sketches = [np.frombuffer(b"".join(r[3] for r in side), np.uint64).reshape(len(side), -1) for side in (left, other)]
+    components = np.array([r[1] for r in other])
+    sizes = np.array([r[2] for r in other])
+    for i, x in enumerate(left):
+        at = np.flatnonzero(components != x[1])
+        if right is None:
+            at = at[at > i]
+        if len(at):
+            far = np.bitwise_count(sketches[0][i] ^ sketches[1][at]).sum(axis=1, dtype=np.int64)
+            near = far <= (x[2] + sizes[at]) * (q - p) // (q + p)
+            found += [(int(h), x[0], other[j][0], x[1], other[j][1]) for h, j in zip(far[near], at[near].tolist(), strict=True)]
+    return found
+
+
+def _forest(pairs: list[tuple]) -> list[tuple]:
+    """The pairs that join components, the nearest first."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c] = up.get(up[c], up[c])
+        return c
+
+    kept = []
+    for pair in sorted(pairs):
+        if (a := root(pair[3])) != (b := root(pair[4])):
+            up[a] = b
+            kept.append(pair)
+    return kept
+
+
+def _tiles(p: int, q: int, forest: bool):
+    """Proposes pairs tile by tile; rows come sorted by tile, whose rows fit in memory."""
+
+    def propose(tile: list[tuple]) -> list[tuple]:
+        ti, tj = tile[0][1], tile[0][2]
+        rows = sorted(set(tile))
+        sides = [[r[4:] for r in rows if r[3] == t] for t in dict.fromkeys((ti, tj))]
+        pairs = _near_pairs(sides[0], sides[1] if len(sides) > 1 else None, p, q) if all(sides) else []
+        return [(min(x[1], x[2]), max(x[1], x[2])) for x in (_forest(pairs) if forest else pairs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile and row[:3] != tile[0][:3]:
+                    out += propose(tile)
+                    tile = []
+                tile.append(row)
+            yield _pairs(out)
+        yield _pairs(propose(tile) if tile else [])
 
     return run
 
 
+def _pairs(out: list[tuple]) -> pa.RecordBatch:
+    found = sorted(set(out))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def jaccard_components(
     spark: SparkSession, docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -266,7 +304,8 @@ def jaccard_components(
         tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
             "key", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "chunk", "class", "component", "size", "sketch"
         )
-        proposed = tiles.groupBy("key", "ti", "tj").applyInPandas(_tile(p, q, forest), "a bigint, b bigint").distinct()
+        at_tile = ["key", "ti", "tj"]
+        proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q, forest), "a bigint, b bigint").distinct()
         more = verify(proposed)
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -286,8 +325,8 @@ def keep_one(
 
     Of repeated rows with one id and text a single one stays; rows that share
     an id but not the text stay each. Rows without id stay unless a row with an
-    id has their text, one for each text. Rows without words are groups of
-    their own.
+    id has the same words, one of those with the same words. Rows without words
+    are groups of their own.
     """
     found = jaccard_components(spark, docs, k, p, q, doc_id, text)
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
@@ -297,8 +336,11 @@ def keep_one(
         return docs.join(heads, here == F.col("__id"), "left_semi")
     once = docs.join(heads.filter("__n = 1 and __id is not null"), here == F.col("__id"), "left_semi")
     more = docs.join(heads.filter("__n > 1 and __id is not null"), here == F.col("__id"), "left_semi").dropDuplicates([doc_id, text])
-    texts = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    known = docs.filter(here.isNotNull()).select(texts.alias("__text")).distinct()
-    lost = docs.filter(here.isNull()).dropDuplicates([text]).withColumn("__own", texts)
-    lost = lost.join(known, F.col("__own") == F.col("__text"), "left_anti").drop("__own")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), upper, lower), r"[\x20\x09-\x0D]+", " "))
+    known = docs.filter(here.isNotNull()).select(F.xxhash64(words).alias("__text")).distinct()
+    lost = docs.filter(here.isNull()).withColumn("__own", F.xxhash64(words))
+    bare = lost.filter(words == "").drop("__own")
+    lost = lost.filter(words != "").dropDuplicates(["__own"]).join(known, F.col("__own") == F.col("__text"), "left_anti").drop("__own")
+    lost = lost.unionByName(bare)
     return once.unionByName(more).unionByName(lost)
