@@ -59,6 +59,7 @@ both("case_when", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WH
 both("cast_matrix", "SELECT c_custkey, CAST(c_acctbal AS SIGNED) AS i, CAST(c_acctbal AS DECIMAL(15, 1)) AS d, CAST(c_custkey AS CHAR) AS s, CAST('12abc' AS SIGNED) AS prefix, CAST(c_custkey AS CHAR(1)) AS one FROM customer",
      "SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(38,6))) AS BIGINT) AS i, CAST(c_acctbal AS DECIMAL(15,1)) AS d, CAST(c_custkey AS VARCHAR) AS s, CAST(12 AS BIGINT) AS prefix, left(CAST(c_custkey AS VARCHAR), 1) AS one FROM customer")
 both("arith_div_mod", "SELECT o_orderkey, o_orderkey DIV 7 AS q, o_orderkey % 7 AS m, MOD(o_orderkey, 5) AS m5, o_totalprice / 0 AS z FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS m, o_orderkey % 5 AS m5, CAST(NULL AS DOUBLE) AS z FROM orders")
+both("arith_divide", "SELECT o_orderkey, o_orderkey / 7 AS q, 3 * o_orderkey / 8 AS p, o_totalprice / 4 AS d, CAST(o_totalprice AS DECIMAL(15, 2)) / 3 AS e FROM orders", "SELECT o_orderkey, CAST(round(CAST(o_orderkey AS DECIMAL(28, 10)) / 7, 4) AS DOUBLE) AS q, round(3 * o_orderkey / 8, 4) AS p, o_totalprice / 4 AS d, round(CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) / 3, 6) AS e FROM orders")
 both("bit_ops", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, o_orderkey ^ 5 AS x, o_orderkey << 2 AS l, o_orderkey >> 1 AS r FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, xor(o_orderkey, 5) AS x, o_orderkey << 2 AS l, o_orderkey >> 1 AS r FROM orders")
 both("row_constructor_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('N', 'O')) AND l_linenumber = 1")
 both("logic_xor", "SELECT o_orderkey, (o_orderstatus = 'F') XOR (o_totalprice > 100000) AS x FROM orders", "SELECT o_orderkey, (o_orderstatus = 'F') <> (o_totalprice > 100000) AS x FROM orders")
@@ -264,7 +265,7 @@ fn("floor", "FLOOR(c_acctbal)", "CAST(floor(c_acctbal) AS BIGINT)")
 fn("sign", "SIGN(c_acctbal)", "CAST(sign(c_acctbal) AS INTEGER)")
 fn("mod", "MOD(c_custkey, 7)", "c_custkey % 7")
 fn("mod_zero", "MOD(c_custkey, 0)", "CAST(NULL AS BIGINT)")
-for _n, _d in {"pow": "POW(c_custkey, 2)", "power": "POWER(c_custkey, 0.5)", "exp": "EXP(c_custkey / 1000)", "log2": "LOG2(c_custkey)", "log10": "LOG10(c_custkey)", "sin": "SIN(c_custkey)", "cos": "COS(c_custkey)", "tan": "TAN(c_custkey)", "cot": "COT(c_custkey)", "atan": "ATAN(c_custkey)", "atan2": "ATAN2(c_custkey, 3)", "degrees": "DEGREES(c_custkey)", "radians": "RADIANS(c_custkey)", "pi": "PI()", "ln": "LN(c_custkey)", "asin": "ASIN(1.0 / c_custkey)", "acos": "ACOS(1.0 / c_custkey)"}.items():
+for _n, _d in {"pow": "POW(c_custkey, 2)", "power": "POWER(c_custkey, 0.5)", "exp": "EXP(c_custkey / 1e3)", "log2": "LOG2(c_custkey)", "log10": "LOG10(c_custkey)", "sin": "SIN(c_custkey)", "cos": "COS(c_custkey)", "tan": "TAN(c_custkey)", "cot": "COT(c_custkey)", "atan": "ATAN(c_custkey)", "atan2": "ATAN2(c_custkey, 3)", "degrees": "DEGREES(c_custkey)", "radians": "RADIANS(c_custkey)", "pi": "PI()", "ln": "LN(c_custkey)", "asin": "ASIN(1e0 / c_custkey)", "acos": "ACOS(1e0 / c_custkey)"}.items():
     fn(_n, f"ROUND({_d}, 5)", f"round({_d.replace('LOG2(c_custkey', 'LOG2(nullif(c_custkey, 0)').replace('LOG10(c_custkey', 'LOG10(nullif(c_custkey, 0)').replace('LN(c_custkey', 'LN(nullif(c_custkey, 0)')}, 5)")
 fn("sqrt", "ROUND(SQRT(c_acctbal), 5)", "CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 5) END")
 fn("log", "ROUND(LOG(c_custkey), 5)", "round(ln(nullif(c_custkey, 0)), 5)")
