@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from quern.operators.json_table import Nested, Path, json_table
 from quern.operators.recursion import fixpoint
 from quern.plans.engine import Engine
 from quern.plans.suite import R, S
+from quern.session import shared_dir
 from quern.sources import versioned
 from quern.sources.versioned import DELETED, VERSION
 from quern.streaming import cdc
@@ -89,8 +89,7 @@ def cdc_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (events,) = _tables(spark, sf_dir, "events")
     own = engine(spark, sf_dir).spark
-    base = own.conf.get("spark.checkpoint.dir", None) or own.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
-    path = f"{base.rstrip('/')}/cdc-{own.sparkContext.applicationId}-{len(_RUNS)}"
+    path = f"{shared_dir(own)}/cdc-{own.sparkContext.applicationId}-{len(_RUNS)}"
     _RUNS.append(path)
     row = F.to_json(F.struct("event_id", "user_id", "event_type"))
     lit = lambda x: F.lit(x)
@@ -110,7 +109,7 @@ def cte_recursive_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of nations that a chain of ring neighbours within a region connects."""
     (nation,) = _tables(spark, sf_dir, "nation")
     if not nation.sparkSession.sparkContext.getCheckpointDir():
-        nation.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+        nation.sparkSession.sparkContext.setCheckpointDir(shared_dir(nation.sparkSession))
     edges = nation.alias("a").join(nation.alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND abs(a.n_nationkey - b.n_nationkey) <= 6 AND a.n_nationkey <> b.n_nationkey")).select(F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"))
     return fixpoint(edges, lambda d: d.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")))
 

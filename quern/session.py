@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +25,23 @@ def engine_session(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         own.conf.set(key, value)
     return own
+
+
+_DIRS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only where the session names none is one chosen here: a temporary folder
+    if the master is local (as in tests), else a folder in the warehouse.
+    """
+    sc = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
+        return found.rstrip("/")
+    if sc.applicationId not in _DIRS:
+        if sc.master == "local" or sc.master.startswith("local["):
+            _DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
+        else:
+            _DIRS[sc.applicationId] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_work"
+    return _DIRS[sc.applicationId]
