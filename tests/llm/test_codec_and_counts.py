@@ -84,6 +84,8 @@ def test_frames(spark, lib):
     for r in got:
         assert r.ids == lib.encode(r.text or "") and r.n_tokens == len(r.ids)
         assert r.decoded == lib.decode(lib.encode(r.text or ""))
+    same = encode(spark, docs, tokenizer_path(), round_trip="same").collect()
+    assert all(r.same == (lib.decode(lib.encode(r.text or "")) == (r.text or "")) for r in same) and not all(r.same for r in same)
     counts = count_tokens(spark, docs, tokenizer_path(), limit=100).collect()
     want = sorted((-1 if i is None else i, len((t or "").encode()), len(lib.encode(t or ""))) for i, t, _ in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in counts) == want

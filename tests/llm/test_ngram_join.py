@@ -96,3 +96,23 @@ def test_word_hashes_in_blocks():
     many = text * 12
     assert word_hashes([many])[0].tolist() == [int(h) for _ in range(1) for h in word_hashes([w for w in many.split()]) for h in h]
     assert len(shingle_sets(["A b", "a B"], 3)[0]) == 1 and shingle_sets(["A b"], 3)[0].tolist() == shingle_sets(["a B"], 3)[0].tolist()
+
+
+def test_shapes_of_long_texts():
+    for p, q in ((9, 10), (4, 5)):
+        bands = Bands(p, q)
+        for j in range(60):
+            d, m, length = bands.shape(j)
+            most = bands.start(j + 1) - 1
+            assert d == bands.differ(most, most) < m <= 2 * d + 10 and length >= 8 * most
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    near = list(words)
+    for _ in range(300):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, " ".join(near[:-2]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 4, 5) and got[2][1] == got[4][1] == 1
