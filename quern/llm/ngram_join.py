@@ -40,6 +40,17 @@ BAND_RATIO = 1.25
 TILE = 256
 
 
+def _poisson_above(mean: float, n: int) -> float:
+    """How likely a Poisson variable exceeds n; by the normal law where the mean is large."""
+    if mean > 30:
+        return math.erfc((n + 0.5 - mean) / math.sqrt(2 * mean)) / 2
+    term = total = math.exp(-mean)
+    for i in range(1, n + 1):
+        term *= mean / i
+        total += term
+    return max(1 - total, 0.0)
+
+
 class Bands:
     """Sizes, blocks and sketch lengths for shingle size k and similarity p/q."""
 
@@ -74,10 +85,9 @@ class Bands:
         low = max(self.least, self.start(j) * self.p // self.q)
         d = self.differ(most, most)
         best = None
-        for extra in range(d + 9):
+        for extra in range(0, d + 9, max(1, d // 200)):
             m = d + 1 + extra
-            empty = m * math.exp(-low / m)
-            rare = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(min(extra + 1, 100)))
+            rare = _poisson_above(m * math.exp(-low / m), extra)
             if best is None or rare < best[0]:
                 best = (rare, m)
             if rare <= 1e-4:
