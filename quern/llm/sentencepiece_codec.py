@@ -32,7 +32,7 @@ CACHE_ENTRIES = 300_000
 #: The model is broadcast; larger files are refused.
 MAX_MODEL_BYTES = 64 << 20
 #: Texts are handed back in Arrow batches of about so many ids.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 
 def splitter(pieces: Collection[str]) -> Callable[[str], list[str]]:
@@ -229,7 +229,6 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
-        ids = list(ids)
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         if self.dummy_prefix and ids and self.pieces[ids[0]].startswith(SPACE):
             text = text[1:]
@@ -273,20 +272,23 @@ def read_model(path: str) -> bytes:
     return model
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """Adds ids (array of int, no begin or end marks) and n_tokens (long) to docs.
 
+    With round_trip, also a column of that name: whether decoding the ids gives
+    the text again, decided in the same pass.
+
     No shuffle; the model (size-checked) is broadcast. Each Python worker keeps
     the ids of the pre-tokens it met, in a bounded table. A null or empty text
     has an empty array. A lone text of any length is one row. Columns with
     those two names are replaced; all others stay, whatever they are called.
     """
     model = spark.sparkContext.broadcast(read_model(model_path))
-    kept = [f for f in docs.schema.fields if f.name not in (ids, "n_tokens")]
+    kept = [f for f in docs.schema.fields if f.name not in (ids, "n_tokens", round_trip)]
     # positions, not names, go through Python: names may clash in any way there
-    schema = T.StructType(
-        [*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField("n_tokens", T.LongType(), False)]
-    )
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField("n_tokens", T.LongType(), False)]
+    added += [T.StructField(round_trip, T.BooleanType(), False)] if round_trip else []
+    schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -295,19 +297,21 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             rest = batch.columns[:-1]
-            start, parts, n = 0, [], 0
+            start, parts, same, n = 0, [], [], 0
             for k in range(batch.num_rows):
-                word_ids = [cache[w] for w in codec.pretokens(texts[k].as_py() or "")]
-                parts.append(b"".join(word_ids))
+                t = texts[k].as_py() or ""
+                parts.append(b"".join([cache[w] for w in codec.pretokens(t)]))
+                if round_trip:
+                    same.append(codec.decode(np.frombuffer(parts[-1], np.int32).tolist()) == t)
                 n += len(parts[-1]) // 4
                 if n >= BATCH_IDS or k == batch.num_rows - 1:
                     sizes = np.array([len(p) // 4 for p in parts], np.int64)
                     flat = pa.array(np.frombuffer(b"".join(parts), np.int32))
                     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                     out = [c.slice(start, len(parts)) for c in rest]
-                    out += [pa.ListArray.from_arrays(offsets, flat), pa.array(sizes)]
+                    out += [pa.ListArray.from_arrays(offsets, flat), pa.array(sizes)] + [pa.array(same, pa.bool_())] * bool(round_trip)
                     yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
-                    start, parts, n = k + 1, [], 0
+                    start, parts, same, n = k + 1, [], [], 0
 
     own = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))
     return own.mapInArrow(run, schema)
