@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose frames are gone.
+
+    It does so when the JVM collects them; on a driver with little to do that
+    may be long after, while the files fill the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_work_tables(spark: SparkSession) -> None:
     """Removes what materialize() has written for this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize
+from quern.llm.common import connected_components, materialize, release
 from quern.llm.shingles import mix, shingle_sets
 
-BAND_RATIO = 1.25
+BAND_RATIO = 1.5
 #: Classes of a bucket that one tile holds on each side.
 TILE = 256
 
@@ -283,7 +283,10 @@ def jaccard_components(
 
     keyed = scanned.select("class", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").drop("most")
+    shared = materialize(spark, shared, "shared")
+    release(spark)  # the keys are shuffled again, and once at a time is enough for the disks
     buckets = materialize(spark, keyed.join(shared, "key").distinct(), "buckets")
+    release(spark)
 
     # the texts of the classes in buckets, one for each
     members = buckets.select("class").distinct()
