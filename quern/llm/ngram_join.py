@@ -36,6 +36,9 @@ from quern.llm.common import connected_components, materialize, release
 from quern.llm.shingles import mix, shingle_sets
 
 BAND_RATIO = 1.5
+#: Bits of a sketch for each shingle of the band's largest set. Fewer let more pairs
+#: through to verification; at 2 those differ in an eighth more than they may.
+SKETCH_BITS = 2
 #: Classes of a bucket that one tile holds on each side.
 TILE = 256
 
@@ -92,7 +95,7 @@ class Bands:
                 best = (rare, m)
             if rare <= 1e-4:
                 break
-        return d, best[1], 64 * math.ceil(8 * most / 64)
+        return d, best[1], 64 * math.ceil(SKETCH_BITS * most / 64)
 
 
 def _keys(shingles: np.ndarray, bands: Bands, shapes: dict) -> list[int]:
@@ -320,6 +323,7 @@ def jaccard_components(
         at_tile = ["key", "ti", "tj"]
         proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q, forest), "a bigint, b bigint").distinct()
         more = verify(proposed)
+        release(spark)
         if not more.isEmpty():
             links = links.unionByName(more)
             components = materialize(spark, connected_components(spark, links), "components")

@@ -104,7 +104,7 @@ def test_shapes_of_long_texts():
         for j in range(60):
             d, m, length = bands.shape(j)
             most = bands.start(j + 1) - 1
-            assert d == bands.differ(most, most) < m <= 2 * d + 10 and length >= 8 * most
+            assert d == bands.differ(most, most) < m <= 2 * d + 10 and length >= 2 * most
 
 
 def test_long_texts(spark):
