@@ -122,7 +122,7 @@ def _sketch(shingles: np.ndarray, length: int) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _batches(batch: pa.RecordBatch, column: int, chars: int = 1 << 20) -> Iterator[tuple[int, list]]:
+def _batches(batch: pa.RecordBatch, column: int, chars: int = 1 << 18) -> Iterator[tuple[int, list]]:
     """(first row, texts): a column in parts of about so many characters."""
     start, texts, n = 0, [], 0
     for k in range(batch.num_rows):
