@@ -11,8 +11,12 @@ those that hold t near e, and N all documents, t discloses
 of the information of e: pointwise mutual information over information content,
 1 if t stands with e only. Terms that reach GENERALISE are replaced by the name
 of their kind, those that reach REMOVE are taken out, wherever they stand near
-e. A term counts only with CONTEXTS different surroundings of e, so that copies
-of one passage are no evidence.
+e. So much must be no accident: with k independent sightings of t near e, of
+k(e) of e, and l = k(e) n(t) / N expected, k log(k / l) - (k - l) (Chernoff's
+bound of a Poisson tail) has to exceed log(terms near e / CHANCE). Two sightings
+are the least; sightings are independent in different surroundings of e and in
+documents that are no near copies, so that copies of a document or passage are
+no evidence.
 """
 
 from __future__ import annotations
@@ -22,9 +26,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import connected_components, materialize
 
-GENERALISE, REMOVE, CONTEXTS = 0.75, 0.95, 3
+GENERALISE, REMOVE = 0.75, 0.95
+#: How likely at most any term of an entity is judged by accident.
+CHANCE = 0.05
+#: Minimum hashes of a document's three-word shingles: bands, and hashes in each.
+#: Documents that agree in a band and in half of all hashes are near copies.
+BANDS, ROWS = 10, 3
 #: Code points on each side of a mention in which its terms lie.
 NEAR = 80
 TERM = r"\p{L}{4,}"
@@ -110,6 +119,40 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
+def _words(text: Column) -> Column:
+    """The terms of a text in their order, in lower case."""
+    found = F.array_join(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), " ")
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(found), " "))
+
+
+def _prints(words: Column) -> Column:
+    """BANDS * ROWS minimum hashes of the three-word shingles; the agreeing share estimates their Jaccard similarity."""
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
+        return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    return _let(_let(words, of), lambda x: F.array(*[F.array_min(F.transform(x, lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(BANDS * ROWS)]))
+
+
+def _grouped(spark: SparkSession, mentions: DataFrame) -> DataFrame:
+    """mentions(kind, value, text_key, prints, ...) with group, one for all near copies that mention an entity, instead of prints.
+
+    In each band a document is held against the least of those that agree with it.
+    """
+    entity = ["kind", "value"]
+    own = mentions.withColumn("id", F.xxhash64("kind", "value", "text_key"))
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("prints", b * ROWS + 1, ROWS)).alias("print")) for b in range(BANDS)])
+    banded = own.select(*entity, "id", "prints", F.explode(bands).alias("b")).select(*entity, "id", "prints", "b.*")
+    least = banded.groupBy(*entity, "band", "print").agg(F.min(F.struct("id", "prints")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    same = F.size(F.filter(F.zip_with("prints", "least.prints", lambda a, b: a == b), lambda x: x))
+    edges = banded.join(least, [*entity, "band", "print"]).filter((F.col("id") != F.col("least.id")) & (2 * same >= BANDS * ROWS))
+    edges = materialize(spark, edges.select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct(), "copies")
+    if edges.isEmpty():
+        return own.withColumn("group", F.col("id")).drop("id", "prints")
+    return own.join(connected_components(spark, edges), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component", "prints")
+
+
 def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: int = NEAR) -> DataFrame:
     """(doc_id, text_key, spans, added) for each row of docs: base spans, and those of disclosing terms.
 
@@ -128,12 +171,13 @@ def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
 
     with_spans = read.withColumn("spans", base_spans(F.col("text")))
     windows = F.transform("spans", around)
-    found = materialize(spark, with_spans.select("doc_id", key.alias("text_key"), "spans", windows.alias("windows")), "pii")
+    found = materialize(spark, with_spans.select("doc_id", key.alias("text_key"), "spans", windows.alias("windows"), F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
 
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    terms = F.array_distinct(_words(F.col("text")))
     n_term = read.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n_all = found.count()
-    documents = found.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("windows").alias("windows")).filter(F.size("windows") > 0)
+    documents = found.filter(F.size("spans") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("text").alias("text"))
+    documents = materialize(spark, documents, "documents")
     mentions = documents.select("text_key", "copies", F.explode("windows").alias("w")).select("text_key", "copies", "w.*")
 
     # words that the window cuts are left out: they are no terms of the document
@@ -149,10 +193,23 @@ def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     close = materialize(spark, close, "close")
 
     entity = ["kind", "value"]
-    n_entity = mentions.select(*entity, "text_key", "copies").distinct().groupBy(*entity).agg(F.sum("copies").alias("n_entity"))
-    contexts = close.select(*entity, "term", "context").distinct().groupBy(*entity, "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
-    together = close.select(*entity, "term", "text_key", "copies").distinct().groupBy(*entity, "term").agg(F.sum("copies").alias("n_both"))
-    told = contexts.join(together, [*entity, "term"]).join(n_entity, entity).join(n_term, "term")
+    holders = materialize(spark, mentions.select(*entity, "text_key", "copies").distinct(), "holders")
+    # a single text is no evidence
+    n_entity = holders.groupBy(*entity).agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") > 1).drop("n_texts")
+    several = materialize(spark, holders.join(n_entity, entity), "several")
+    prints = documents.join(several.select("text_key").distinct(), "text_key", "left_semi").select("text_key", _prints(_words(F.col("text"))).alias("prints"))
+    grouped = materialize(spark, _grouped(spark, several.join(prints, "text_key")), "groups")
+    n_groups = grouped.groupBy(*entity, "n_entity").agg(F.count_distinct("group").alias("n_groups"))
+    seen = close.join(grouped.select(*entity, "text_key", "group"), [*entity, "text_key"])
+    contexts = seen.select(*entity, "term", "context").distinct().groupBy(*entity, "term").agg(F.count("*").alias("contexts"))
+    groups = seen.select(*entity, "term", "text_key", "copies", "group").distinct().groupBy(*entity, "term", "group").agg(F.sum("copies").alias("n"))
+    together = groups.groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("groups"))
+    pairs = materialize(spark, together.join(contexts, [*entity, "term"]).join(n_groups, entity).withColumn("k", F.least("groups", "contexts")), "pairs")
+    tested = pairs.groupBy(*entity).agg(F.count("*").alias("tested"))
+    told = pairs.filter("k > 1").join(tested, entity).join(n_term, "term")
+    expected = F.col("n_groups") * F.col("n_term") / float(n_all)
+    sure = (F.col("k") > expected) & (F.col("k") * F.log(F.col("k") / expected) - (F.col("k") - expected) >= F.log(F.col("tested") / CHANCE))
+    told = told.filter(sure)
     disclosed = F.log(F.col("n_both") * float(n_all) / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(n_all)) / F.col("n_entity"))
     told = told.filter(F.col("n_entity") < n_all).select(*entity, "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= GENERALISE)
     action = F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise")

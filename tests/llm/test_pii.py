@@ -75,3 +75,24 @@ def test_sanitise_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __spans string")
     got = sorted((r.doc_id, r.text, r["__spans"]) for r in sanitise(spark, docs.withColumnRenamed("__spans", "extra")).withColumnRenamed("extra", "__spans").collect() if r.text is not None)
     assert got == [(2, "", "b"), (3, "é [EMAIL] [IP] [PHONE] x", "c"), (3, "é [EMAIL] [IP] [PHONE] x", "c")]
+
+
+def pseudo(rng, n):
+    return " ".join("".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+
+def test_two_sightings(spark):
+    """Two different documents are evidence of a rare term; near copies, a copied passage and a common word aren't."""
+    rng = random.Random(7)
+    rows = [(i, f"{pseudo(rng, 15)} Zebrowski at zed@corp.example.com {pseudo(rng, 15)} office") for i in range(2)]
+    words = pseudo(rng, 60).split()
+    for i in range(6):
+        own = [*words]
+        own[i * 2] = pseudo(rng, 1)
+        rows.append((10 + i, " ".join([*own[:25], "Quillfeather quill@solo.example.com", *own[25:]])))
+    passage = f"{pseudo(rng, 15)} Thistlewood thi@solo.example.com {pseudo(rng, 15)}"
+    rows += [(20 + i, f"{pseudo(rng, 30)} {passage} {pseudo(rng, 30)}") for i in range(4)]
+    rows += [(100 + i, f"office {pseudo(rng, 20)}") for i in range(500)]
+    found = {r.doc_id: {s.value for s in r.added} for r in find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zebrowski" in found[i] and "office" not in found[i] for i in range(2))
+    assert all(not found[i] for i in found if i >= 10)
