@@ -2,21 +2,21 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and telephone
 numbers, found by pattern. Each distinct value is a protected entity. Terms
-near its mentions may give it away though it is masked itself; how much, the
-corpus tells: with n(e), n(t) the documents that hold entity e and term t, n(e,t)
-those that hold t near e, and N all documents, t discloses
+that stand in its documents may give it away though it is masked itself; how
+much, the corpus tells: with n(e), n(t) the documents that hold entity e and
+term t, n(e,t) those that hold both, and N all documents, t discloses
 
     log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
 of the information of e: pointwise mutual information over information content,
 1 if t stands with e only. Terms that reach GENERALISE are replaced by the name
-of their kind, those that reach REMOVE are taken out, wherever they stand near
-e. So much must be no accident: with k independent sightings of t near e, of
-k(e) of e, and l = k(e) n(t) / N expected, k log(k / l) - (k - l) (Chernoff's
-bound of a Poisson tail) has to exceed log(terms near e / CHANCE). Two sightings
-are the least; sightings are independent in different surroundings of e and in
-documents that are no near copies, so that copies of a document or passage are
-no evidence.
+of their kind, those that reach REMOVE are taken out, wherever they stand in a
+document that mentions e. So much must be no accident: with k independent
+sightings of t with e, of k(e) of e, and l = k(e) n(t) / N expected,
+k log(k / l) - (k - l) (Chernoff's bound of a Poisson tail) has to exceed
+log(terms in question / CHANCE). Two sightings are the least; sightings are
+independent if t stands in different surroundings, and in documents that are no
+near copies, so that copies of a document or passage are no evidence.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ CHANCE = 0.05
 #: Minimum hashes of a document's three-word shingles: bands, and hashes in each.
 #: Documents that agree in a band and in half of all hashes are near copies.
 BANDS, ROWS = 10, 3
-#: Code points on each side of a mention in which its terms lie.
-NEAR = 80
+#: Terms on each side that are a term's surroundings; as many as 4 SIDE + 1 alike are a copied passage.
+SIDE = 5
 TERM = r"\p{L}{4,}"
 KINDS = ["email", "ip", "card", "phone", "term"]
 
@@ -125,6 +125,39 @@ def _words(text: Column) -> Column:
     return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(found), " "))
 
 
+def _blank(text: Column, spans: Column) -> Column:
+    """The text with spaces for its spans; positions stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        width = F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, F.repeat(F.lit(" "), width))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _sightings(words: Column, own: Column) -> Column:
+    """Array of (term, contexts): hashes of the SIDE terms on each side, of 2 SIDE before it and of 2 SIDE after it.
+
+    Wherever a term stands in a copied passage of 4 SIDE + 1 terms, one of them
+    lies in the passage. Where the text ends too early own stands for it.
+    """
+
+    def of(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            def around(before: int, after: int) -> Column:
+                whole = (i >= before) & (i + after < F.size(w))
+                return F.when(whole, F.xxhash64(F.slice(w, F.greatest(i - before, F.lit(0)) + 1, F.lit(before + 1 + after)))).otherwise(own)
+
+            contexts = [around(SIDE, SIDE), around(2 * SIDE, 0), around(0, 2 * SIDE)]
+            return F.struct(F.get(w, i).alias("term"), *[c.alias(f"context{n}") for n, c in enumerate(contexts)])
+
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1), at))
+
+    return _let(words, of)
+
+
 def _prints(words: Column) -> Column:
     """BANDS * ROWS minimum hashes of the three-word shingles; the agreeing share estimates their Jaccard similarity."""
 
@@ -153,69 +186,70 @@ def _grouped(spark: SparkSession, mentions: DataFrame) -> DataFrame:
     return own.join(connected_components(spark, edges), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component", "prints")
 
 
-def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: int = NEAR) -> DataFrame:
+def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, spans, added) for each row of docs: base spans, and those of disclosing terms.
 
     text_key is a 128-bit hash of the text. All documents' terms are counted,
     each once a document. Null texts are empty: no spans. Rows with equal texts
-    have equal spans; repeated rows are each counted as a document.
+    have equal spans; repeated rows are each counted as a document. Terms are
+    spared pairing only if their counts rule them out.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     key = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
     read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), t.alias("text"))
 
-    def around(s: Column) -> Column:
-        """The span with the text before and after it, and where the first begins."""
-        at = F.greatest(s["start"] - near, F.lit(0))
-        return F.struct(s["kind"].alias("kind"), s["value"].alias("value"), at.alias("at"), s["end"].alias("end"), F.substring(F.col("text"), at + 1, s["start"] - at).alias("left"), F.substring(F.col("text"), s["end"] + 1, F.lit(near)).alias("right"))
-
     with_spans = read.withColumn("spans", base_spans(F.col("text")))
-    windows = F.transform("spans", around)
-    found = materialize(spark, with_spans.select("doc_id", key.alias("text_key"), "spans", windows.alias("windows"), F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
-
-    terms = F.array_distinct(_words(F.col("text")))
-    n_term = read.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    found = materialize(spark, with_spans.select("doc_id", key.alias("text_key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
     n_all = found.count()
-    documents = found.filter(F.size("spans") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("text").alias("text"))
+    documents = found.filter(F.size("spans") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("text").alias("text"))
     documents = materialize(spark, documents, "documents")
-    mentions = documents.select("text_key", "copies", F.explode("windows").alias("w")).select("text_key", "copies", "w.*")
-
-    # words that the window cuts are left out: they are no terms of the document
-    left = F.when(F.col("at") > 0, F.regexp_replace("left", r"^\p{L}+", " ")).otherwise(F.col("left"))
-    right = F.when(F.length("right") == near, F.regexp_replace("right", r"\p{L}+$", " ")).otherwise(F.col("right"))
-    dropped = F.length("left") - F.length(left)
-    located = F.concat(
-        F.transform(_located(F.lower(left), TERM), lambda x: F.struct((x["start"] + F.col("at") + dropped).alias("start"), (x["end"] + F.col("at") + dropped).alias("end"), x["value"].alias("term"))),
-        F.transform(_located(F.lower(right), TERM), lambda x: F.struct((x["start"] + F.col("end")).alias("start"), (x["end"] + F.col("end")).alias("end"), x["value"].alias("term"))),
-    )
-    context = F.xxhash64("left", "right")
-    close = mentions.select("text_key", "copies", "kind", "value", context.alias("context"), F.explode(located).alias("t")).select("text_key", "copies", "kind", "value", "context", "t.*")
-    close = materialize(spark, close, "close")
+    bare = _blank(F.col("text"), F.col("spans"))
 
+    # a single text is no evidence, and what all documents hold is no secret
     entity = ["kind", "value"]
-    holders = materialize(spark, mentions.select(*entity, "text_key", "copies").distinct(), "holders")
-    # a single text is no evidence
-    n_entity = holders.groupBy(*entity).agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts")).filter(F.col("n_texts") > 1).drop("n_texts")
-    several = materialize(spark, holders.join(n_entity, entity), "several")
-    prints = documents.join(several.select("text_key").distinct(), "text_key", "left_semi").select("text_key", _prints(_words(F.col("text"))).alias("prints"))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    holders = materialize(spark, documents.select("text_key", "copies", F.explode(entities).alias("e")).select("e.*", "text_key", "copies"), "holders")
+    n_entity = holders.groupBy(*entity).agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts")).filter((F.col("n_texts") > 1) & (F.col("n_entity") < n_all))
+    several = materialize(spark, holders.join(n_entity.drop("n_texts"), entity), "several")
+    telling = documents.join(several.select("text_key").distinct(), "text_key", "left_semi")
+    prints = telling.select("text_key", _prints(_words(bare)).alias("prints"))
     grouped = materialize(spark, _grouped(spark, several.join(prints, "text_key")), "groups")
-    n_groups = grouped.groupBy(*entity, "n_entity").agg(F.count_distinct("group").alias("n_groups"))
-    seen = close.join(grouped.select(*entity, "text_key", "group"), [*entity, "text_key"])
-    contexts = seen.select(*entity, "term", "context").distinct().groupBy(*entity, "term").agg(F.count("*").alias("contexts"))
-    groups = seen.select(*entity, "term", "text_key", "copies", "group").distinct().groupBy(*entity, "term", "group").agg(F.sum("copies").alias("n"))
-    together = groups.groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("groups"))
-    pairs = materialize(spark, together.join(contexts, [*entity, "term"]).join(n_groups, entity).withColumn("k", F.least("groups", "contexts")), "pairs")
+    n_groups = grouped.groupBy(*entity).agg(F.count_distinct("group").alias("n_groups"))
+
+    # all terms of all documents, less those that stand in base spans only
+    every = read.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"), F.lit(1).cast("bigint").alias("n"))
+    inside = documents.select(F.explode(F.array_except(_words(F.col("text")), _words(bare))).alias("term"), (-F.col("copies")).alias("n"))
+    n_term = every.unionByName(inside).groupBy("term").agg(F.sum("n").alias("n_term")).filter("n_term > 1")
+
+    # n(e,t) is n(e) at most, so that more frequent terms can't reach GENERALISE
+    most = F.col("n_entity") * F.pow(n_all / F.col("n_entity"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    sightings = telling.select("text_key", F.explode(_sightings(_words(bare), F.xxhash64("text_key"))).alias("s")).groupBy("text_key", "s.term").agg(*[F.min(f"s.context{n}").alias(f"context{n}") for n in range(3)])
+    close = sightings.join(n_term, "term").join(grouped.withColumn("most", most), "text_key").filter(F.col("n_term") <= F.col("most")).drop("most")
+    close = materialize(spark, close, "close")
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"context{n}").alias("context")) for n in range(3)]))
+    contexts = close.select(*entity, "term", each.alias("c")).select(*entity, "term", "c.*").distinct().groupBy(*entity, "term", "side").agg(F.count("*").alias("n"))
+    contexts = contexts.groupBy(*entity, "term").agg(F.min("n").alias("contexts"))
+    groups = close.groupBy(*entity, "term", "group", "n_entity", "n_term").agg(F.sum("copies").alias("n"))
+    together = groups.groupBy(*entity, "term", "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count("*").alias("groups"))
+    pairs = together.join(contexts, [*entity, "term"]).join(n_groups, entity).withColumn("k", F.least("groups", "contexts"))
+    pairs = materialize(spark, pairs, "pairs")
     tested = pairs.groupBy(*entity).agg(F.count("*").alias("tested"))
-    told = pairs.filter("k > 1").join(tested, entity).join(n_term, "term")
     expected = F.col("n_groups") * F.col("n_term") / float(n_all)
     sure = (F.col("k") > expected) & (F.col("k") * F.log(F.col("k") / expected) - (F.col("k") - expected) >= F.log(F.col("tested") / CHANCE))
-    told = told.filter(sure)
     disclosed = F.log(F.col("n_both") * float(n_all) / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(n_all)) / F.col("n_entity"))
-    told = told.filter(F.col("n_entity") < n_all).select(*entity, "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= GENERALISE)
+    told = pairs.filter("k > 1").join(tested, entity).filter(sure).select(*entity, "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= GENERALISE)
+
+    # at all its places in all documents that mention the entity
+    hit = close.join(materialize(spark, told, "told"), [*entity, "term"]).groupBy("text_key", "term").agg(F.max("disclosed").alias("disclosed"))
     action = F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise")
-    hit = close.join(materialize(spark, told, "told"), [*entity, "term"]).groupBy("text_key", "start", "end", "term").agg(F.min(F.when(action == "remove", 0).otherwise(1)).alias("a"))
-    span = F.struct(F.col("start").cast("int").alias("start"), F.lit(4).alias("kind"), F.col("end").cast("int").alias("end"), F.col("term").alias("value"), F.when(F.col("a") == 0, "remove").otherwise("generalise").alias("action")).cast(_SPAN)
-    added = hit.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    actions = hit.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", action))).alias("actions"))
+
+    def span(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), F.try_element_at("actions", F.lower(x["value"])).alias("action"))
+
+    added = F.filter(F.transform(_located(bare, TERM), span), lambda s: s["action"].isNotNull()).cast(f"array<{_SPAN}>")
+    added = telling.join(actions, "text_key").select("text_key", added.alias("added"))
     out = found.select("doc_id", "text_key", "spans").join(materialize(spark, added, "added"), "text_key", "left")
     return out.select("doc_id", "text_key", "spans", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))
 

@@ -96,3 +96,17 @@ def test_two_sightings(spark):
     found = {r.doc_id: {s.value for s in r.added} for r in find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("zebrowski" in found[i] and "office" not in found[i] for i in range(2))
     assert all(not found[i] for i in found if i >= 10)
+
+
+def test_terms_of_whole_documents(spark):
+    """A term is judged however far from the entity it stands, and masked at all its places in the entity's documents only."""
+    rng = random.Random(8)
+    rows = [(i, f"Zebrowski {pseudo(rng, 60)} zed@corp.example.com {pseudo(rng, 60)} İ ZEBROWSKI {pseudo(rng, 3)} Zebrowski") for i in range(3)]
+    rows += [(100 + i, f"office {pseudo(rng, 20)}") for i in range(500)]
+    rows.append((700, f"Zebrowski {pseudo(rng, 20)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.added for r in find_pii(spark, docs).collect()}
+    for i, text in rows[:3]:
+        assert [(s.start, s.end) for s in found[i] if s.value == "zebrowski"] == [m.span() for m in re.finditer("(?i)zebrowski", text)]
+    clean = {r.doc_id: r.text for r in sanitise(spark, docs).collect()}
+    assert all("zebrowski" not in clean[i].lower() for i in range(3)) and clean[700] == dict(rows)[700]
