@@ -36,7 +36,8 @@ CHANCE = 0.05
 BANDS, ROWS = 10, 3
 #: Terms on each side that are a term's surroundings; as many as 4 SIDE + 1 alike are a copied passage.
 SIDE = 5
-TERM = r"\p{L}{4,}"
+#: Letters and digits in a row, with the marks that belong to them; how frequent it is decides, not its length.
+TERM = r"[\p{L}\p{M}\p{N}]+"
 KINDS = ["email", "ip", "card", "phone", "term"]
 
 _SPAN = "struct<start:int,kind:int,end:int,value:string,action:string>"

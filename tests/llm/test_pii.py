@@ -110,3 +110,13 @@ def test_terms_of_whole_documents(spark):
         assert [(s.start, s.end) for s in found[i] if s.value == "zebrowski"] == [m.span() for m in re.finditer("(?i)zebrowski", text)]
     clean = {r.doc_id: r.text for r in sanitise(spark, docs).collect()}
     assert all("zebrowski" not in clean[i].lower() for i in range(3)) and clean[700] == dict(rows)[700]
+
+
+def test_short_terms_and_numbers(spark):
+    """Short names, names of two letters in other scripts and numbers are terms, but not what stands in base spans."""
+    rng = random.Random(9)
+    rows = [(i, f"{pseudo(rng, 20)} Ng zed@corp.example.com {pseudo(rng, 12)} 金 {pseudo(rng, 12)} K4711 {pseudo(rng, 12)} 90210 {pseudo(rng, 5)}") for i in range(3)]
+    rows += [(100 + i, f"of {pseudo(rng, 20)}") for i in range(500)]
+    found = {r.doc_id: {s.value for s in r.added} for r in find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == {"ng", "金", "k4711", "90210"} for i in range(3))
+    assert all(not found[i] for i in range(100, 600))
