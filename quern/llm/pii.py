@@ -32,8 +32,9 @@ GENERALISE, REMOVE = 0.75, 0.95
 #: How likely at most any term of an entity is judged by accident.
 CHANCE = 0.05
 #: Minimum hashes of a document's three-word shingles: bands, and hashes in each.
-#: Documents that agree in a band and in half of all hashes are near copies.
-BANDS, ROWS = 10, 3
+#: Documents that agree in a band and in half of all hashes are near copies; a fifth
+#: is enough if it stands for as many shingles as a copied passage has terms.
+BANDS, ROWS = 15, 2
 #: Terms on each side that are a term's surroundings; as many as 4 SIDE + 1 alike are a copied passage.
 SIDE = 5
 #: Letters and digits in a row, with the marks that belong to them; how frequent it is decides, not its length.
@@ -166,25 +167,31 @@ def _prints(words: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
         return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    return _let(_let(words, of), lambda x: F.array(*[F.array_min(F.transform(x, lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(BANDS * ROWS)]))
+    def least(x: Column, i: int) -> Column:
+        return F.array_min(F.transform(x, lambda h: F.xxhash64(h, F.lit(i))))
+
+    return _let(_let(words, of), lambda x: F.array(*[least(x, i) for i in range(BANDS * ROWS)]))
 
 
 def _grouped(spark: SparkSession, mentions: DataFrame) -> DataFrame:
-    """mentions(kind, value, text_key, prints, ...) with group, one for all near copies that mention an entity, instead of prints.
+    """mentions(kind, value, text_key, prints, length, ...) with group, one for all near copies that mention an entity, instead of prints and length.
 
     In each band a document is held against the least of those that agree with it.
     """
     entity = ["kind", "value"]
     own = mentions.withColumn("id", F.xxhash64("kind", "value", "text_key"))
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("prints", b * ROWS + 1, ROWS)).alias("print")) for b in range(BANDS)])
-    banded = own.select(*entity, "id", "prints", F.explode(bands).alias("b")).select(*entity, "id", "prints", "b.*")
-    least = banded.groupBy(*entity, "band", "print").agg(F.min(F.struct("id", "prints")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    banded = own.select(*entity, "id", "prints", "length", F.explode(bands).alias("b")).select(*entity, "id", "prints", "length", "b.*")
+    least = banded.groupBy(*entity, "band", "print").agg(F.min(F.struct("id", "prints", "length")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same = F.size(F.filter(F.zip_with("prints", "least.prints", lambda a, b: a == b), lambda x: x))
-    edges = banded.join(least, [*entity, "band", "print"]).filter((F.col("id") != F.col("least.id")) & (2 * same >= BANDS * ROWS))
+    n = BANDS * ROWS
+    shared = same / (n + same) * (F.col("length") + F.col("least.length"))
+    near = (2 * same >= n) | ((5 * same >= n) & (shared > 4 * SIDE))
+    edges = banded.join(least, [*entity, "band", "print"]).filter((F.col("id") != F.col("least.id")) & near)
     edges = materialize(spark, edges.select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct(), "copies")
     if edges.isEmpty():
-        return own.withColumn("group", F.col("id")).drop("id", "prints")
-    return own.join(connected_components(spark, edges), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component", "prints")
+        return own.withColumn("group", F.col("id")).drop("id", "prints", "length")
+    return own.join(connected_components(spark, edges), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component", "prints", "length")
 
 
 def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +220,7 @@ def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     n_entity = holders.groupBy(*entity).agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts")).filter((F.col("n_texts") > 1) & (F.col("n_entity") < n_all))
     several = materialize(spark, holders.join(n_entity.drop("n_texts"), entity), "several")
     telling = documents.join(several.select("text_key").distinct(), "text_key", "left_semi")
-    prints = telling.select("text_key", _prints(_words(bare)).alias("prints"))
+    prints = telling.select("text_key", _prints(_words(bare)).alias("prints"), F.size(_words(bare)).alias("length"))
     grouped = materialize(spark, _grouped(spark, several.join(prints, "text_key")), "groups")
     n_groups = grouped.groupBy(*entity).agg(F.count_distinct("group").alias("n_groups"))
 
