@@ -3,59 +3,102 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_DIRS: dict[str, str] = {}
+from quern.session import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none is one chosen here: a temporary folder
-    if the master is local (as in tests), else a folder in the warehouse.
-    """
-    sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if sc.applicationId not in _DIRS:
-        if sc.master.startswith("local[") or sc.master == "local":
-            _DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
-        else:
-            _DIRS[sc.applicationId] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_work"
-    return _DIRS[sc.applicationId]
+#: Shuffle files of a statement are removed when it ends, not when the JVM collects garbage.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: list[str] = []
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
-    This cuts the lineage and survives the loss of any executor. The tables of
-    an application lie in one folder; drop_work_tables() removes it, and so
-    does the end of the Python process.
+    This cuts the lineage and survives the loss of any executor. The shuffle
+    files of the job go when it ends. The tables of an application lie in one
+    folder; drop() removes one of them, drop_work_tables() all, and so does the
+    end of the Python process.
     """
     path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(_CLEAN_SHUFFLES, before)
+    return _table(spark, df.schema, [path])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose frames are gone.
+def together(spark: SparkSession, tables: list[DataFrame]) -> DataFrame:
+    """Tables of materialize() that have one schema, as a single table."""
+    return _table(spark, tables[0].schema, [p for t in tables for p in t.work_paths])
 
-    It does so when the JVM collects them; on a driver with little to do that
-    may be long after, while the files fill the executors' disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables of materialize() that nothing will read again."""
+    for t in tables:
+        for p in t.work_paths:
+            _delete(spark, p)
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Writes what make() gives, then removes the work tables that it was made of."""
+    first = len(_MADE)
+    out = materialize(spark, make(), name)
+    for path in _MADE[first:]:
+        if path not in out.work_paths:
+            _delete(spark, path)
+    del _MADE[first:]
+    return out
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a text, t1 and t2."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def quoted(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """The stems, each lengthened until no column of df has that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for s in stems:
+        while s.lower() in taken:
+            s += "_"
+        taken.add(s.lower())
+        out.append(s)
+    return out
+
+
+def _table(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    out = spark.read.schema(schema).parquet(*paths)
+    out.work_paths = paths
+    _MADE.extend(p for p in paths if p not in _MADE)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Removes what materialize() has written for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(spark, _work_dir(spark))
+    _MADE.clear()
 
 
 def _work_dir(spark: SparkSession) -> str:
@@ -89,10 +132,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     cur = materialize(spark, cur, "cc")
-    while True:
-        if _is_stars(cur):
-            break
-        cur = materialize(spark, _small_star(_large_star(cur)), "cc")
+    while not _is_stars(cur):
+        before, cur = cur, materialize(spark, _small_star(_large_star(cur)), "cc")
+        drop(spark, before)
     children = cur.select(F.col("v").alias("id"), F.col("m").alias("component"))
     roots = cur.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()
     return children.unionByName(roots)

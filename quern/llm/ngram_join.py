@@ -6,20 +6,23 @@ t = p/q differ in at most (a + b)(q - p)/(q + p) elements.
 * Size bands: a pair meets in the band of its larger set. Band j has sets of
   up to BAND_RATIO times its least size, and smaller ones that may still reach
   t with them; d is the most elements that a pair in it may differ in.
-* Pigeonhole: shingles fall into m > d blocks, and the XOR of each block's
+* Pigeonhole: shingles fall into m > d + 1 blocks, and the XOR of each block's
   shingle hashes is a key. One differing shingle changes one block, so at least
   m - d blocks of a pair agree. Empty blocks are keys only for sets with at
-  least m - d of them, as only there nothing but empty blocks may agree.
+  least m - d - 1 of them, so a pair has two keys in common at the least.
 * Sketch: every shingle flips one of L bits. The Hamming distance of two
   sketches is a lower bound of the symmetric difference.
 * Verification counts the shared shingles of both texts.
 
-Equal sets are one class from the start. Within buckets (classes with a common
-key) no pairs are spelled out: what is verified is first each class against the
-least of its bucket; then, where a bucket still holds several components, a
-spanning forest of the pairs that the sketch lets through, nearest first; then
+Equal sets are one class from the start, and a task makes the keys of a class
+once. The keys are worked through in slices, so that the disks hold the shuffle
+of one slice at a time. Within buckets (classes with a common key) no pairs are
+spelled out: what is verified is first each class against the least of its
+bucket; then, where other members of a bucket still belong to several components,
+a spanning forest of the pairs that the sketch lets through, nearest first; then
 all such pairs between components that remain. A pair that is in no round is in
-one component already, so the components are those of all links.
+one component already, so the components are those of all links. Buckets of more
+than HOT classes are split by a second common key, which every pair has.
 """
 
 from __future__ import annotations
@@ -32,15 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize, release
+from quern.llm.common import connected_components, drop, free_names, materialize, quoted, text_key, together
 from quern.llm.shingles import mix, shingle_sets
 
 BAND_RATIO = 1.5
 #: Bits of a sketch for each shingle of the band's largest set. Fewer let more pairs
 #: through to verification; at 2 those differ in an eighth more than they may.
 SKETCH_BITS = 2
-#: Classes of a bucket that one tile holds on each side.
-TILE = 256
+#: Classes of a bucket that one tile holds on each side, and from which on a bucket is split by second keys.
+TILE, HOT = 1024, 2048
+#: Parts of the keys that are shuffled one after another.
+SLICES = 4
+#: Up to so many classes are broadcast to fetch their texts.
+BROADCAST_ROWS = 50_000
 
 
 def _poisson_above(mean: float, n: int) -> float:
@@ -88,9 +95,9 @@ class Bands:
         low = max(self.least, self.start(j) * self.p // self.q)
         d = self.differ(most, most)
         best = None
-        for extra in range(0, d + 9, max(1, d // 200)):
+        for extra in range(1, d + 10, max(1, d // 200)):
             m = d + 1 + extra
-            rare = _poisson_above(m * math.exp(-low / m), extra)
+            rare = _poisson_above(m * math.exp(-low / m), extra - 1)
             if best is None or rare < best[0]:
                 best = (rare, m)
             if rare <= 1e-4:
@@ -108,7 +115,7 @@ def _keys(shingles: np.ndarray, bands: Bands, shapes: dict) -> list[int]:
         order = np.argsort(block, kind="stable")
         filled, at = np.unique(block[order], return_index=True)
         values = np.bitwise_xor.reduceat(shingles[order], at)
-        if m - len(filled) >= m - d:
+        if m - len(filled) >= m - d - 1:
             empty = np.setdiff1d(np.arange(m), filled)
             filled, values = np.concatenate([filled, empty]), np.concatenate([values, np.zeros(len(empty), np.uint64)])
         with np.errstate(over="ignore"):
@@ -135,28 +142,73 @@ def _batches(batch: pa.RecordBatch, column: int, chars: int = 1 << 18) -> Iterat
         yield start, texts
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def _prints(sets: list[np.ndarray]) -> list[tuple[int, int] | tuple[None, None]]:
+    """128 bits of each set, as two integers; nothing for the empty set."""
+    out: list[tuple[int, int] | tuple[None, None]] = []
+    with np.errstate(over="ignore"):
+        for x in sets:
+            n = np.uint64(len(x))
+            both = mix(np.array([np.sum(mix(x)) + n, np.sum(mix(x ^ np.uint64(0x7F4A7C15D1B54A32))) - n])).view(np.int64)
+            out.append((int(both[0]), int(both[1])) if len(x) else (None, None))
+    return out
+
+
+_SCANNED = "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, c1 bigint, c2 bigint, band0 int, sketch0 binary, band1 int, sketch1 binary, " + ", ".join(f"keys{i} array<bigint>" for i in range(SLICES))
 
 
 def _scan(k: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, shapes = Bands(p, q), {}
+        seen: set[tuple] = set()  # classes of this task
         for batch in batches:
-            for start, texts in _batches(batch, 1):
+            for start, texts in _batches(batch, 3):
                 sets = shingle_sets(texts, k)
-                with np.errstate(over="ignore"):
-                    prints = [None if not len(s) else int(_signed(mix(np.array([np.sum(mix(s)) + np.uint64(len(s))])))[0]) for s in sets]
-                keys = [_keys(s, bands, shapes) for s in sets]
-                offsets = pa.array(np.cumsum([0, *(len(x) for x in keys)]).astype(np.int32))
+                prints = _prints(sets)
+                fresh = []
+                for x in prints:
+                    fresh.append(x[0] is not None and x not in seen)
+                    seen.add(x)
+                keys = [_keys(x, bands, shapes) if new else np.zeros(0, np.int64) for x, new in zip(sets, fresh, strict=True)]
+                sketches: list[list] = [[], [], [], []]
+                for x, new in zip(sets, fresh, strict=True):
+                    at = bands.of(len(x)) if new else []
+                    for i in (0, 1):
+                        j = at[i] if i < len(at) else None
+                        sketches[2 * i].append(None if j is None else j % 256)
+                        sketches[2 * i + 1].append(None if j is None else _sketch(x, bands.shape(j)[2]))
+                every = np.concatenate(keys)
+                of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                part = (every >> 8) % SLICES
+                lists = []
+                for i in range(SLICES):
+                    counts = np.bincount(of[part == i], minlength=len(keys))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(every[part == i])))
+                whole = [batch.column(i).slice(start, len(texts)) for i in range(3)]
+                own = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1))]
+                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n_shingles", "class", "keys"],
+                    [*whole, *own, *(pa.array(x, kind) for x, kind in zip(sketches, kinds, strict=True)), *lists],
+                    names=[x.split()[0] for x in _SCANNED.split(", ")],
                 )
 
     return run
 
 
+def _close(p: int, q: int):
+    """Of pairs with sizes and sketches those that the sketches let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, left, right = (c.to_pylist() for c in batch.columns)
+            near = [
+                (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= (m + n) * (q - p) // (q + p)
+                for m, n, x, y in zip(n_a, n_b, left, right, strict=True)
+            ]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _verify(k: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,18 +222,6 @@ def _verify(k: int, p: int, q: int):
     return run
 
 
-def _sketches(k: int, p: int, q: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(p, q)
-        for batch in batches:
-            for start, texts in _batches(batch, 1):
-                rows = [(batch.column(0)[start + i].as_py(), j % 256, len(s), _sketch(s, bands.shape(j)[2])) for i, s in enumerate(shingle_sets(texts, k)) for j in bands.of(len(s))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["class", "band", "size", "sketch"])
-
-    return run
-
-
 def _near_pairs(left: list[tuple], right: list[tuple] | None, p: int, q: int) -> list[tuple]:
     """(distance, a, b, components) of the pairs in different components that the sketches let through.
 
@@ -262,102 +302,189 @@ def _pairs(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def jaccard_components(
-    spark: SparkSession, docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
-
-    Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a set holds the
-    distinct k-word shingles, or the whole text if it has fewer words. Rows
-    link when their sets' similarity is at least p/q; component_id is the least
-    doc_id that links reach, the own one included.
+def _ids(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """classes(c1, c2, ...) with id, and twins(c1, ids, first): sets whose first hashes agree, if there are any.
 
-    Null or wordless texts have no shingles and link with nothing. Rows with
-    equal texts, and repeated rows, are in one component. A row without doc_id
-    links with equal texts only; its component is their least id, or null.
-    An empty table gives an empty result. Other columns of docs aren't read.
-    Sets are told apart by 64-bit hashes.
+    Keys carry c1 alone; that only matters for two linked sets with one c1, of
+    which 2^64 pairs of links hold one. A c1 that stands for several sets gets
+    an id for each, so that these aren't taken for one.
+    """
+    twins = classes.groupBy("c1").agg(F.collect_list(F.xxhash64("c1", "c2")).alias("ids")).filter(F.size("ids") > 1)
+    twins = materialize(spark, twins.select("c1", F.array_sort("ids").alias("ids")), "twins")
+    if twins.isEmpty():
+        drop(spark, twins)
+        return classes.withColumn("id", F.col("c1")), None
+    both = classes.join(twins, "c1", "left")
+    return both.withColumn("id", F.when(F.col("ids").isNull(), F.col("c1")).otherwise(F.xxhash64("c1", "c2"))).drop("ids"), twins
+
+
+def _texts(spark: SparkSession, read: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(class, text) for chosen(class, t1, t2); equal texts come once."""
+    if chosen.count() <= BROADCAST_ROWS:
+        read = read.join(F.broadcast(chosen.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi")
+    once = read.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    return once.join(chosen, ["t1", "t2"]).select("class", "text")
+
+
+def _buckets(spark: SparkSession, scanned: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """(key, class, least) for every key that several classes have, slice by slice."""
+    slices = []
+    for i in range(SLICES):
+        keyed = scanned.filter("c1 is not null").select("c1", F.explode(f"keys{i}").alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).filter("least <> most").drop("most")
+        shared = materialize(spark, shared, "shared")
+        rows = keyed.join(shared, "key").distinct()
+        if twins is not None:
+            own, first = twins.select("c1", "ids"), twins.select(F.col("c1").alias("least"), F.get("ids", F.lit(0)).alias("first"))
+            rows = rows.join(own, "c1", "left").join(first, "least", "left")
+            rows = rows.select("key", F.explode(F.coalesce("ids", F.array("c1"))).alias("c1"), F.coalesce("first", "least").alias("least"))
+        slices.append(materialize(spark, rows.select("key", F.col("c1").alias("class"), "least"), "buckets"))
+        drop(spark, shared)
+    return together(spark, slices)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, n) of the buckets in rows(key, class, component) that hold several components."""
+    found = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    return found.filter("lo <> hi").select("key", "n")
+
+
+def _split(spark: SparkSession, rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows(key, class, component, n) with the buckets of over HOT classes dealt out by second keys.
+
+    Every pair that may link has two keys of its band in common, so it meets
+    again under both. A class goes to as many parts as it has other keys.
     """
-    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    scanned = materialize(
-        spark, read.mapInArrow(_scan(k, p, q), "doc_id bigint, n_shingles bigint, class bigint, keys array<bigint>"), "shingles"
-    )
-    sets = scanned.select("doc_id", "n_shingles", "class")
-
-    keyed = scanned.select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").drop("most")
-    shared = materialize(spark, shared, "shared")
-    release(spark)  # the keys are shuffled again, and once at a time is enough for the disks
-    buckets = materialize(spark, keyed.join(shared, "key").distinct(), "buckets")
-    release(spark)
-
-    # the texts of the classes in buckets, one for each
+    hot = rows.filter(F.col("n") > HOT)
+    if hot.isEmpty():
+        return rows
+    hot_keys = hot.select(F.col("key").alias("second")).distinct().withColumn("also", F.lit(True))
+    other = buckets.select("class", F.col("key").alias("second")).join(hot_keys, "second", "left")
+    parts = hot.drop("n").join(other, "class").filter("key <> second and pmod(key, 256) = pmod(second, 256) and (also is null or key < second)")
+    low = F.lit(0xFF).cast("bigint")
+    key = F.xxhash64("key", "second").bitwiseAND(F.lit(~0xFF)).bitwiseOR(F.col("key").bitwiseAND(low))
+    parts = materialize(spark, parts.select(key.alias("key"), "class", "component"), "split")
+    return rows.filter(F.col("n") <= HOT).unionByName(parts.join(_mixed(parts), "key").select(*rows.columns))
+
+
+def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, class, component) for each row of docs; without words class and component are null."""
+    read = docs.select(quoted(doc_id).cast("bigint").alias("doc_id"), quoted(text).cast("string").alias("text"))
+    read = read.select("doc_id", *text_key(F.coalesce("text", F.lit(""))), "text")
+    scanned = materialize(spark, read.mapInArrow(_scan(k, p, q), _SCANNED), "shingles")
+    read = read.drop("doc_id")
+
+    # c1, c2 tell a set; t1, t2 a text that has it
+    classes = scanned.filter("c1 is not null").groupBy("c1", "c2").agg(F.first("t1").alias("t1"), F.first("t2").alias("t2"))
+    classes, twins = _ids(spark, materialize(spark, classes, "classes"))
+    sets = scanned.select("doc_id", "t1", "t2", "n_shingles", "c1", "c2")
+    sketched = [scanned.filter(f"band{i} is not null").select("c1", "c2", F.col(f"band{i}").alias("band"), F.col("n_shingles").alias("size"), F.col(f"sketch{i}").alias("sketch")) for i in (0, 1)]
+    sketches = sketched[0].unionByName(sketched[1])
+    if twins is not None:
+        ids = classes.select("c1", "c2", "id")
+        sets, sketches = sets.join(ids, ["c1", "c2"], "left"), sketches.join(ids, ["c1", "c2"])
+    else:
+        sets, sketches = sets.withColumn("id", F.col("c1")), sketches.withColumn("id", F.col("c1"))
+    sets = materialize(spark, sets.select("doc_id", "t1", "t2", "n_shingles", F.col("id").alias("class")), "sets")
+    buckets = _buckets(spark, scanned, twins)
     members = buckets.select("class").distinct()
-    first = sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = members.join(first, "class")
-    texts = materialize(spark, read.filter("doc_id is not null").join(chosen, "doc_id").select("class", "text").dropDuplicates(["class"]), "texts")
+    sketches = sketches.withColumnRenamed("id", "class").join(members, "class", "left_semi")
+    sketches = materialize(spark, sketches.groupBy("class", "band", "size").agg(F.first("sketch").alias("sketch")), "sketches")
+    drop(spark, scanned)
+    classes = classes.select(F.col("id").alias("class"), "t1", "t2")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        chosen = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class")
+        chosen = materialize(spark, chosen, "chosen")
+        texts = materialize(spark, _texts(spark, read, chosen), "texts")
         a, b = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return materialize(spark, both.mapInArrow(_verify(k, p, q), "a bigint, b bigint"), "links")
-
-    links = verify(buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
+        links = materialize(spark, both.mapInArrow(_verify(k, p, q), "a bigint, b bigint"), "links")
+        drop(spark, chosen, texts)
+        return links
+
+    # each class of a bucket against its least
+    stars = buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), F.pmod("key", F.lit(256)).cast("int").alias("band")).distinct()
+    a, b = (sketches.select(F.col("class").alias(c), "band", F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    stars = stars.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    stars = materialize(spark, stars.mapInArrow(_close(p, q), "a bigint, b bigint").distinct(), "stars")
+    links = verify(stars)
     components = materialize(spark, connected_components(spark, links), "components")
-    sketches = None
+
+    # the others of a bucket against each other, where they are not linked yet
     for forest in (True, False):
-        at = buckets.select("key", F.col("class").alias("id")).join(components, "id", "left")
+        at = buckets.filter("class <> least").select("key", F.col("class").alias("id")).join(components, "id", "left")
         at = at.select("key", F.col("id").alias("class"), F.coalesce("component", "id").alias("component"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-        mixed = materialize(spark, mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")), "mixed")
+        mixed = materialize(spark, _mixed(at), "mixed")
         if mixed.isEmpty():
             break
-        if sketches is None:
-            sketches = materialize(spark, texts.mapInArrow(_sketches(k, p, q), "class bigint, band int, size bigint, sketch binary"), "sketches")
-        chunk = F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")).cast("int")
-        rows = at.join(mixed, "key").withColumn("chunk", chunk).withColumn("band", F.pmod("key", F.lit(256)).cast("int"))
+        rows = _split(spark, materialize(spark, at.join(mixed, "key"), "rows"), buckets)
+        chunks = F.ceil(F.col("n") / TILE).cast("int")
+        rows = rows.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("class", F.lit(7)), chunks).cast("int"), "band": F.pmod("key", F.lit(256)).cast("int")})
         rows = rows.join(sketches, ["class", "band"])
         tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
             "key", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "chunk", "class", "component", "size", "sketch"
         )
         at_tile = ["key", "ti", "tj"]
         proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q, forest), "a bigint, b bigint").distinct()
+        proposed = materialize(spark, proposed, "proposed")
+        if proposed.isEmpty():
+            break
         more = verify(proposed)
-        release(spark)
         if not more.isEmpty():
             links = links.unionByName(more)
             components = materialize(spark, connected_components(spark, links), "components")
+    return sets.join(components, sets["class"] == components["id"], "left").select(sets["*"], F.coalesce("component", "class").alias("component"))
+
 
-    ids = first.withColumnRenamed("class", "id").join(components, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
-    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = ids.join(least, "component").select(F.col("id").alias("class"), "component_id")
-    out = sets.join(by_class, "class", "left")
+def jaccard_components(
+    spark: SparkSession, docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a set holds the
+    distinct k-word shingles, or the whole text if it has fewer words. Rows
+    link when their sets' similarity is at least p/q; component_id is the least
+    doc_id that links reach, the own one included.
+
+    Null or wordless texts have no shingles and link with nothing. Rows with
+    equal texts, and repeated rows, are in one component; rows that share an id
+    but not the text are judged each by its own text. A row without doc_id links
+    like others; component_id is null where no linked row has an id. An empty
+    table gives an empty result. Other columns of docs aren't read, so their
+    names may be anything. Sets and texts are told apart by 128-bit hashes.
+    """
+    found = materialize(spark, _joined(spark, docs, k, p, q, doc_id, text), "joined")
+    least = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(
     spark: SparkSession, docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of docs that stand for their component (its least doc_id), with all their columns.
+    """The rows of docs that stand for their component, one for each, with all their columns.
 
-    Of repeated rows with one id and text a single one stays; rows that share
-    an id but not the text stay each. Rows without id stay unless a row with an
-    id has the same words, one of those with the same words. Rows without words
-    are groups of their own.
+    That is the row of the least doc_id, rows without id last; among several
+    texts of that id the one of the least hash. Of rows that agree in id and
+    text any single one stays. Rows without words are groups of their own and
+    all stay. An empty table gives an empty result; columns may have any names.
     """
-    found = jaccard_components(spark, docs, k, p, q, doc_id, text)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
-    heads = materialize(spark, heads, "heads").withColumnRenamed("doc_id", "__id")
-    here = F.col(f"`{doc_id}`").cast("bigint")
-    if heads.filter("__n > 1 or __id is null").isEmpty():
-        return docs.join(heads, here == F.col("__id"), "left_semi")
-    once = docs.join(heads.filter("__n = 1 and __id is not null"), here == F.col("__id"), "left_semi")
-    more = docs.join(heads.filter("__n > 1 and __id is not null"), here == F.col("__id"), "left_semi").dropDuplicates([doc_id, text])
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), upper, lower), r"[\x20\x09-\x0D]+", " "))
-    known = docs.filter(here.isNotNull()).select(F.xxhash64(words).alias("__text")).distinct()
-    lost = docs.filter(here.isNull()).withColumn("__own", F.xxhash64(words))
-    bare = lost.filter(words == "").drop("__own")
-    lost = lost.filter(words != "").dropDuplicates(["__own"]).join(known, F.col("__own") == F.col("__text"), "left_anti").drop("__own")
-    lost = lost.unionByName(bare)
-    return once.unionByName(more).unionByName(lost)
+    found = materialize(spark, _joined(spark, docs, k, p, q, doc_id, text), "joined")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    heads = found.filter("component is not null").groupBy("component").agg(F.min(row).alias("row")).select("row.*")
+    n = found.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n"))
+    names = free_names(docs, "head_id", "head_t1", "head_t2", "own_t1", "own_t2")
+    same = (n["doc_id"].eqNullSafe(heads["doc_id"])) & (n["t1"] == heads["t1"]) & (n["t2"] == heads["t2"])
+    heads = materialize(spark, heads.join(n, same).select(heads["doc_id"].alias(names[0]), heads["t1"].alias(names[1]), heads["t2"].alias(names[2]), (n["n"] > 1).alias("many")), "heads")
+    bare = found.filter("component is null").select(F.col("doc_id").alias(names[0]), F.col("t1").alias(names[1]), F.col("t2").alias(names[2])).distinct()
+
+    keys = [c.alias(x) for c, x in zip(text_key(F.coalesce(quoted(text).cast("string"), F.lit(""))), names[3:], strict=True)]
+    own = docs.select("*", *keys)
+    by = quoted(doc_id).cast("bigint").eqNullSafe(F.col(names[0])) & (F.col(names[3]) == F.col(names[1])) & (F.col(names[4]) == F.col(names[2]))
+    stay = heads.filter("not many").drop("many").unionByName(bare)
+    out = own.join(stay, by, "left_semi").drop(*names[3:])
+    many = heads.filter("many").drop("many")
+    if many.isEmpty():
+        return out
+    return out.unionByName(own.join(many, by, "left_semi").dropDuplicates([doc_id, *names[3:]]).drop(*names[3:]))

@@ -116,3 +116,99 @@ def test_long_texts(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, " ".join(near[:-2]))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 5, 4, 5) and got[2][1] == got[4][1] == 1
+
+
+def brute_rows(rows, k, p, q):
+    """Component of each row, by its text alone: the least id among linked rows, or its own."""
+    sets = [shingles(t, k) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and q * shared >= p * (len(sets[a]) + len(sets[b]) - shared):
+                up[root(a)] = root(b)
+    ids = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            ids[root(i)] = min(doc_id, ids.get(root(i), doc_id))
+    return [ids.get(root(i), doc_id) if sets[i] else doc_id for i, (doc_id, _) in enumerate(rows)]
+
+
+def _variants(seed, groups):
+    """(id, text A), (id, text B), (_, near A), (_, near B), with the id repeated and some ids null."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        a, b = ([f"v{rng.randrange(3000)}" for _ in range(80)] for _ in range(2))
+        near = [[*x[:40], "other", *x[41:]] for x in (a, b)]
+        rows += [(10 * g + 5, a), (10 * g + 5, b), (None if g % 3 == 0 else 10 * g + 6, near[0]), (None if g % 3 == 1 else 10 * g + 7, near[1])]
+        if g % 4 == 0:  # a row without id is the bridge of two that don't link directly
+            far = [*near[0][:20], "more", *near[0][21:]]
+            rows += [(10 * g + 8, far)]
+    return [(i, " ".join(t)) for i, t in rows]
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = _variants(3, 20)
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, t1 int")
+    want = sorted((i if i is not None else -1, -1 if c is None else c) for (i, _), c in zip(rows, brute_rows(rows, 5, 4, 5), strict=True))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, -1 if r.component_id is None else r.component_id) for r in jaccard_components(spark, df).collect())
+    assert got == want
+    kept = keep_one(spark, df)
+    assert kept.columns == df.columns
+    left = [shingles(r.text, 5) for r in kept.collect()]
+    assert not any(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(left) for b in left[:i])
+    assert len(left) == 40  # two texts a group, each with its near copies
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Common passages give buckets of many classes; small tiles and second keys lose no link."""
+    from quern.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for g in range(120):
+        own = passage + [f"x{rng.randrange(10_000)}" for _ in range(12)]
+        rows.append((2 * g, " ".join(own)))
+        if g % 2:
+            rows.append((2 * g + 1, " ".join([*own[:-1], "end"])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 4, 5)
+
+
+def test_two_common_keys():
+    """The split by second keys needs two keys in common for every linked pair."""
+    import numpy as np
+
+    rng, bands, shapes = np.random.default_rng(1), Bands(4, 5), {}
+    for n in [*range(bands.least, 80), 200, 700]:
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if 5 * shared >= 4 * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
+                assert len(set(_keys(a, bands, shapes).tolist()) & set(_keys(b, bands, shapes).tolist())) >= 2
+
+
+def test_sets_with_one_first_hash(spark):
+    """Sets whose first hashes agree keep apart by the second."""
+    from quern.llm import ngram_join
+
+    classes, twins = ngram_join._ids(spark, spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 7, "c")], "c1 long, c2 long, t string"))
+    ids = {r.t: r.id for r in classes.collect()}
+    assert len(set(ids.values())) == 3 and ids["c"] == 2 and [sorted(r.ids) for r in twins.collect()] == [sorted([ids["a"], ids["b"]])]
+    keys = ", ".join(f"keys{i} array<long>" for i in range(ngram_join.SLICES))
+    scanned = spark.createDataFrame([(1, *[[9]] * ngram_join.SLICES), (2, *[[9]] * ngram_join.SLICES)], f"c1 long, {keys}")
+    rows = ngram_join._buckets(spark, scanned, twins).distinct().collect()
+    assert {r["class"] for r in rows} == set(ids.values()) and {r.least for r in rows} == {min(ids["a"], ids["b"])}
+    assert ngram_join._ids(spark, spark.createDataFrame([(1, 5)], "c1 long, c2 long"))[1] is None
