@@ -18,17 +18,20 @@ Equal sets are one class from the start, and a task makes the keys of a class
 once. The keys are worked through in slices, so that the disks hold the shuffle
 of one slice at a time. Within buckets (classes with a common key) no pairs are
 spelled out: what is verified is first each class against the least of its
-bucket; then, where other members of a bucket still belong to several components,
-a spanning forest of the pairs that the sketch lets through, nearest first; then
-all such pairs between components that remain. A pair that is in no round is in
-one component already, so the components are those of all links. Buckets of more
-than HOT classes are split by a second common key, which every pair has.
+bucket, and against the greatest where the others still belong to several
+components; then, where what remains of a bucket still does, a spanning forest of
+the pairs that the sketch lets through, nearest first. Any
+other pair that the sketch lets through lies in one component of links and
+proposed pairs (a cluster), so last the clusters that still hold several
+components of links are compared text by text, in tiles that send on a forest of
+links. Buckets of more than HOT classes are split by a second common key, which
+every pair has.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ BAND_RATIO = 1.5
 SKETCH_BITS = 2
 #: Classes of a bucket that one tile holds on each side, and from which on a bucket is split by second keys.
 TILE, HOT = 1024, 2048
+#: Classes of a cluster, with their texts, that one tile holds on each side.
+TEXTS = 256
 #: Parts of the keys that are shuffled one after another.
 SLICES = 4
 #: Up to so many classes are broadcast to fetch their texts.
@@ -272,29 +277,64 @@ def _forest(pairs: list[tuple]) -> list[tuple]:
     return kept
 
 
-def _tiles(p: int, q: int, forest: bool):
-    """Proposes pairs tile by tile; rows come sorted by tile, whose rows fit in memory."""
+def _tiles(p: int, q: int):
+    """Proposes a forest of pairs tile by tile; rows come sorted by tile, whose rows fit in memory."""
 
     def propose(tile: list[tuple]) -> list[tuple]:
         ti, tj = tile[0][1], tile[0][2]
         rows = sorted(set(tile))
         sides = [[r[4:] for r in rows if r[3] == t] for t in dict.fromkeys((ti, tj))]
         pairs = _near_pairs(sides[0], sides[1] if len(sides) > 1 else None, p, q) if all(sides) else []
-        return [(min(x[1], x[2]), max(x[1], x[2])) for x in (_forest(pairs) if forest else pairs)]
+        return [(min(x[1], x[2]), max(x[1], x[2])) for x in _forest(pairs)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile: list[tuple] = []
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tile and row[:3] != tile[0][:3]:
-                    out += propose(tile)
-                    tile = []
-                tile.append(row)
-            yield _pairs(out)
-        yield _pairs(propose(tile) if tile else [])
+    return lambda batches: _by_tile(batches, propose)
 
-    return run
+
+def _by_tile(batches: Iterator[pa.RecordBatch], propose: Callable[[list[tuple]], list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """What propose() gives for each tile, which is told by the first three columns."""
+    tile: list[tuple] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tile and row[:3] != tile[0][:3]:
+                out += propose(tile)
+                tile = []
+            tile.append(row)
+        yield _pairs(out)
+    yield _pairs(propose(tile) if tile else [])
+
+
+def _within(k: int, p: int, q: int):
+    """A forest of the links between the components of a tile, (cluster, i, j, other, class, component, text) rows sorted by tile.
+
+    Every row that isn't `other` is compared with every one that is.
+    """
+
+    def links(tile: list[tuple]) -> list[tuple]:
+        rows = sorted({r[3:6]: r for r in tile}.values())
+        sets = shingle_sets([r[6] for r in rows], k)
+        left = [i for i, r in enumerate(rows) if not r[3]]
+        right = [i for i, r in enumerate(rows) if r[3]]
+        if not left or not right:
+            return []
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
+        sizes = np.array([len(sets[i]) for i in right])
+        every, starts = np.concatenate([ids[i] for i in right]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        components = np.array([rows[i][5] for i in right])
+        mine = np.zeros(len(values), np.int64)
+        found = []
+        for i in left:
+            mine[ids[i]] = 1
+            shared = np.add.reduceat(mine[every], starts)
+            mine[ids[i]] = 0
+            union = sizes + len(ids[i]) - shared
+            for j in np.flatnonzero((q * shared >= p * union) & (components != rows[i][5])):
+                other = rows[right[j]]
+                found.append((int(union[j] - shared[j]), rows[i][4], other[4], rows[i][5], other[5]))
+        return [(min(x[1], x[2]), max(x[1], x[2])) for x in _forest(found)]
+
+    return lambda batches: _by_tile(batches, links)
 
 
 def _pairs(out: list[tuple]) -> pa.RecordBatch:
@@ -367,6 +407,40 @@ def _split(spark: SparkSession, rows: DataFrame, buckets: DataFrame) -> DataFram
     return rows.filter(F.col("n") <= HOT).unionByName(parts.join(_mixed(parts), "key").select(*rows.columns))
 
 
+def _rest(spark: SparkSession, clusters: DataFrame, components: DataFrame, fetch: Callable[[DataFrame], DataFrame], k: int, p: int, q: int) -> DataFrame | None:
+    """Links between the components within each of clusters(id, component), by comparing texts.
+
+    What isn't in a cluster's largest component is compared with the whole
+    cluster, tile by tile; a tile sends on a forest of its links, never pairs.
+    """
+    own = components.select("id", F.col("component").alias("own"))
+    rows = clusters.select("id", F.col("component").alias("cluster")).join(own, "id", "left").select("cluster", F.col("id").alias("class"), F.coalesce("own", "id").alias("component"))
+    rows = materialize(spark, rows, "clustered")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "component")).alias("top")
+    sizes = sizes.groupBy("cluster").agg(largest, F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    sizes = sizes.select("cluster", F.col("top.component").alias("top"), F.ceil(F.col("all") / TEXTS).cast("int").alias("ends"), F.ceil((F.col("all") - F.col("top.n")) / TEXTS).cast("int").alias("starts"))
+    rows = materialize(spark, rows.join(sizes, "cluster"), "rest")
+    if rows.isEmpty():
+        return None
+    texts = fetch(rows.select("class"))
+    several = rows.join(texts, "class")
+
+    def side(other: bool, here: str, there: str) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("class", F.lit(11)), F.col(here)).cast("int")
+        across = F.explode(F.sequence(F.lit(0), F.col(there) - 1))
+        both = several.filter(F.lit(True) if other else F.col("component") != F.col("top")).withColumn("across", across)
+        i, j = (F.col("across"), chunk) if other else (chunk, F.col("across"))
+        return both.select("cluster", i.alias("i"), j.alias("j"), F.lit(other).alias("other"), "class", "component", "text")
+
+    tiles = side(False, "starts", "ends").unionByName(side(True, "ends", "starts"))
+    at_tile = ["cluster", "i", "j"]
+    found = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_within(k, p, q), "a bigint, b bigint")
+    found = materialize(spark, found.distinct(), "links")
+    drop(spark, texts)
+    return found
+
+
 def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, t1, t2, n_shingles, class, component) for each row of docs; without words class and component are null."""
     read = docs.select(quoted(doc_id).cast("bigint").alias("doc_id"), quoted(text).cast("string").alias("text"))
@@ -393,32 +467,51 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
     drop(spark, scanned)
     classes = classes.select(F.col("id").alias("class"), "t1", "t2")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        chosen = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class")
-        chosen = materialize(spark, chosen, "chosen")
+    def fetch(some: DataFrame) -> DataFrame:
+        chosen = materialize(spark, some.join(classes, "class"), "chosen")
         texts = materialize(spark, _texts(spark, read, chosen), "texts")
+        drop(spark, chosen)
+        return texts
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = fetch(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         a, b = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         links = materialize(spark, both.mapInArrow(_verify(k, p, q), "a bigint, b bigint"), "links")
-        drop(spark, chosen, texts)
+        drop(spark, texts)
         return links
 
-    # each class of a bucket against its least
-    stars = buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), F.pmod("key", F.lit(256)).cast("int").alias("band")).distinct()
     a, b = (sketches.select(F.col("class").alias(c), "band", F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    stars = stars.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
-    stars = materialize(spark, stars.mapInArrow(_close(p, q), "a bigint, b bigint").distinct(), "stars")
-    links = verify(stars)
-    components = materialize(spark, connected_components(spark, links), "components")
 
-    # the others of a bucket against each other, where they are not linked yet
-    for forest in (True, False):
-        at = buckets.filter("class <> least").select("key", F.col("class").alias("id")).join(components, "id", "left")
+    def star(pairs: DataFrame) -> DataFrame:
+        """The links among pairs(a, b, band)."""
+        both = pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        return verify(materialize(spark, both.mapInArrow(_close(p, q), "a bigint, b bigint").distinct(), "stars"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """The rows(key, class) of buckets that hold several components, with these and the size of the bucket."""
+        at = rows.withColumnRenamed("class", "id").join(components, "id", "left")
         at = at.select("key", F.col("id").alias("class"), F.coalesce("component", "id").alias("component"))
-        mixed = materialize(spark, _mixed(at), "mixed")
-        if mixed.isEmpty():
-            break
-        rows = _split(spark, materialize(spark, at.join(mixed, "key"), "rows"), buckets)
+        return materialize(spark, at.join(materialize(spark, _mixed(at), "mixed"), "key"), "rows")
+
+    # each class of a bucket against its least, then the others against the greatest
+    band = F.pmod("key", F.lit(256)).cast("int").alias("band")
+    links = star(buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), band).distinct())
+    components = materialize(spark, connected_components(spark, links), "components")
+    rows = apart(buckets.filter("class <> least").select("key", "class"))
+    if not rows.isEmpty():
+        most = rows.groupBy("key").agg(F.max("class").alias("most"))
+        pairs = rows.join(most, "key").filter("class <> most")
+        seconds = pairs.select(F.col("most").alias("a"), F.col("class").alias("b"), "component", band).distinct()
+        ends = components.select(F.col("id").alias("a"), F.col("component").alias("end"))
+        seconds = seconds.join(ends, "a", "left").filter(F.coalesce("end", "a") != F.col("component")).select("a", "b", "band")
+        links = links.unionByName(star(seconds))
+        components = materialize(spark, connected_components(spark, links), "components")
+        rows = apart(pairs.select("key", "class"))
+
+    # then those that are left against each other, where they are not linked yet
+    if not rows.isEmpty():
+        rows = _split(spark, rows, buckets)
         chunks = F.ceil(F.col("n") / TILE).cast("int")
         rows = rows.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("class", F.lit(7)), chunks).cast("int"), "band": F.pmod("key", F.lit(256)).cast("int")})
         rows = rows.join(sketches, ["class", "band"])
@@ -426,14 +519,16 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
             "key", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "chunk", "class", "component", "size", "sketch"
         )
         at_tile = ["key", "ti", "tj"]
-        proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q, forest), "a bigint, b bigint").distinct()
-        proposed = materialize(spark, proposed, "proposed")
-        if proposed.isEmpty():
-            break
-        more = verify(proposed)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = materialize(spark, connected_components(spark, links), "components")
+        proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q), "a bigint, b bigint")
+        proposed = materialize(spark, proposed.distinct(), "proposed")
+        joint = links.unionByName(proposed)
+        links = links.unionByName(verify(proposed))
+        components = materialize(spark, connected_components(spark, links), "components")
+
+        # a pair that the sketches let through and nothing has joined yet lies in one component of the pairs proposed
+        more = _rest(spark, materialize(spark, connected_components(spark, joint), "clusters"), components, fetch, k, p, q)
+        if more is not None and not more.isEmpty():
+            components = materialize(spark, connected_components(spark, links.unionByName(more)), "components")
     return sets.join(components, sets["class"] == components["id"], "left").select(sets["*"], F.coalesce("component", "class").alias("component"))
 
 

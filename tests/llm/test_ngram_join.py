@@ -173,6 +173,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "TILE", 4)
     monkeypatch.setattr(ngram_join, "HOT", 6)
+    monkeypatch.setattr(ngram_join, "TEXTS", 3)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(30)]
