@@ -24,6 +24,8 @@ from quern.llm.shingles import mix
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3)
 #: Rows of a language that the driver learns from on average, and languages, at most.
 TRAINING_ROWS, LANGUAGES = 3000, 1000
+#: Rows to learn from in all, which is what the driver holds.
+ALL_TRAINING_ROWS = 24_000
 EPOCHS, BATCH, RATE = 12, 64, 0.5
 #: Few rows are gone through more often, for so many steps at least.
 STEPS = 1500
@@ -142,8 +144,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(spark: SparkSession, docs: DataFrame) -> Model:
     """The model of documents(doc_id, text, lang) that aren't held out.
 
-    Each language gives its rows with the smallest hashes, TRAINING_ROWS or so.
-    Their bags of n-grams, bounded by BUCKETS whatever the text's length, are
+    Each language gives its rows with the smallest hashes, about TRAINING_ROWS,
+    or fewer where there are so many languages that all would be over
+    ALL_TRAINING_ROWS. Their bags of n-grams, bounded by BUCKETS whatever the text's length, are
     made on the executors. More than LANGUAGES languages are refused.
     """
     ok = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -153,7 +156,8 @@ def learn(spark: SparkSession, docs: DataFrame) -> Model:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return fit([], [])
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, TRAINING_ROWS / r["n"]))])
+    each = min(TRAINING_ROWS, ALL_TRAINING_ROWS // len(counts))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["n"]))])
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11).cast("double") * F.lit(2.0**-53)
     chosen = ok.filter(chance < rate[F.col("lang")])
 
@@ -175,7 +179,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, doc_id: str = "
     score is the calibrated probability of lang_pred, the likeliest language
     learned; accepted is false where it lies below the rejection threshold. A
     null text, one without a letter, and any text if no language was learned
-    have `und` with score 0, not accepted. Only the text is looked at; there is
+    have `und` with score 0, not accepted; an empty table gives an empty result.
+    Only the text is looked at, other columns may have any names; there is
     no shuffle. The model's size is fixed by BUCKETS and LANGUAGES.
     """
     shared = spark.sparkContext.broadcast(model)

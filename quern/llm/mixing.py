@@ -6,26 +6,37 @@ meet, words are moved from one's expectation to the other's, in the direction
 that a fair lottery gives, until one of them is an integer: so each document's
 expected copies stay as they were, and the words of both together stay the
 same. What remains undecided of a group goes up a reduction tree, group by
-group, to at most one document a source, which its own lottery decides. A
-source's words hence differ from its target by less than one document, and
-mostly a small one, as the root's group runs from large to small documents.
+group, to at most one document a source, which its own lottery decides.
+
+Where a large and a small document meet it is mostly the small one that is
+decided, so a large one remains, and its lottery may miss by as much. A reserve
+of small documents therefore waits at the root, in levels from large to small.
+What the lottery of a level has taken too much or too little is spread, in equal
+shares a word, over the expectations of the levels that follow before the next
+is folded. As lotteries are fair, this changes no document's expected copies but
+those of the smallest, where what is left to spread may exceed what they can
+take up. A source's words hence differ from its target by about the smallest
+documents of its reserve, unless it has too few documents to take the error up.
 
 Built-in functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import free_names, materialize
 
 #: Documents that a group of the reduction tree holds on average.
 GROUP = 48
-#: Documents of a source, large and small, that wait for the root of the tree: the
-#: last ones to meet are small then, and so is what the source misses its target by.
-RESERVE = 64
+#: Documents of a source, of its smaller half, that wait for the root of the tree on average. All do where there are no more.
+RESERVE = 256
+#: Levels of the reserve, from its largest documents to its smallest.
+LEVELS = 20
 #: Most copies of a document.
 MOST = 2
 
@@ -111,6 +122,63 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, i: a + i["words"])
+
+
+def _settle_levels(items: Column, seed: int) -> Column:
+    """The decided documents of (words, key, doc_id, p, held), level by level; each level's error is spread over all that follow.
+
+    Level 0 holds what the tree has left; each further one a quarter of what
+    remains of the reserve, the largest first.
+    """
+    kind = "struct<words:bigint,key:bigint,doc_id:bigint,p:double>"
+
+    def moved(x: Column, shift: Column) -> Column:
+        p = F.least(F.greatest(x["p"] - shift, F.lit(0.0)), F.lit(1.0))
+        return F.struct(x["words"].alias("words"), x["key"].alias("key"), x["doc_id"].alias("doc_id"), p.alias("p"))
+
+    def levels(x: Column) -> Column:
+        held = F.filter(x, lambda i: i["held"])
+
+        def start(i: Column) -> Column:
+            return F.when(i == LEVELS, F.size(held)).otherwise(F.ceil(F.size(held) * (1 - F.pow(F.lit(0.75), i)))).cast("int")
+
+        parts = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.slice(held, start(i) + 1, start(i + 1) - start(i)))
+        return F.concat(F.array(F.filter(x, lambda i: ~i["held"])), parts)
+
+    def level(acc: Column, x: Column) -> Column:
+        # what is owed is spread over the words of this level and of those that follow
+        shift = F.when(acc["rest"] > 0, acc["error"] / acc["rest"]).otherwise(0.0)
+        shift = F.when(F.get(x, F.lit(0))["held"], shift).otherwise(0.0)
+        return _let(F.struct(shift.alias("shift"), _total(x).alias("words")), lambda y: _let(F.transform(x, lambda i: moved(i, y["shift"])), lambda m: folded(acc, x, m, y["words"])))
+
+    def folded(acc: Column, x: Column, m: Column, words: Column) -> Column:
+        absorbed = F.aggregate(F.zip_with(x, m, lambda i, j: i["words"] * (i["p"] - j["p"])), F.lit(0.0), lambda a, i: a + i)
+        return _let(F.struct(absorbed.alias("absorbed"), _fold(m, seed).alias("f")), lambda y: decided(acc, x, y, words))
+
+    def decided(acc: Column, x: Column, y: Column, words: Column) -> Column:
+        left = y["f"]["left"]
+        got = F.when(_uniform(left["key"], F.lit(seed + 1)) < left["p"], 1.0).otherwise(0.0)
+        last = F.struct(left["words"].alias("words"), left["key"].alias("key"), left["doc_id"].alias("doc_id"), got.alias("p"))
+        done = F.concat(acc["done"], y["f"]["done"], F.when(left.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{kind}>")))
+        error = acc["error"] - y["absorbed"] + F.when(left.isNotNull(), (got - left["p"]) * left["words"]).otherwise(0.0)
+        rest = acc["rest"] - F.when(F.get(x, F.lit(0))["held"], words).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(error.alias("error"), rest.alias("rest"), done.alias("done"))
+
+    def all_levels(x: Column) -> Column:
+        rest = _total(F.filter(x, lambda i: i["held"]))
+        start = F.struct(F.lit(0.0).alias("error"), rest.alias("rest"), F.array().cast(f"array<{kind}>").alias("done"))
+        return F.aggregate(levels(x), start, level)
+
+    return _let(items, all_levels)["done"]
+
+
 def _fold_groups(spark: SparkSession, dealt: DataFrame, seed: int) -> DataFrame:
     item = F.struct((-F.col("words")).alias("order"), "key", "words", "doc_id", "p")
     groups = dealt.groupBy("source", "band", "group").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -152,10 +220,11 @@ def mix(
 
     alone = known.filter("words = 0").select("key", "doc_id", F.when(_uniform("key", F.lit(seed + 1)) < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     level = known.filter("words > 0 and p > 0").select("source", "words", "key", "doc_id", "p", F.floor(F.log2("words") * 2).alias("band"))
-    held = level.groupBy("source").agg(F.greatest(F.ceil(F.count("*") / RESERVE), F.lit(1)).alias("every"))
-    level = level.alias("l").join(held.alias("h"), F.col("l.source").eqNullSafe(F.col("h.source"))).select("l.*", (F.pmod(F.xxhash64("key", F.lit(-1)), F.col("every")) == 0).alias("held"))
+    held = level.groupBy("source").agg(F.percentile_approx("words", 0.5).alias("median"), F.greatest(F.ceil(F.count("*") / (2 * RESERVE)), F.lit(1)).alias("every"))
+    small = (F.col("every") == 1) | (F.col("words") <= F.col("median")) & (F.pmod(F.xxhash64("key", F.lit(-1)), F.col("every")) == 0)
+    level = level.alias("l").join(held.alias("h"), F.col("l.source").eqNullSafe(F.col("h.source"))).select("l.*", small.alias("held"))
     level = materialize(spark, level, "level")
-    reserve = level.filter("held").drop("held")
+    reserve = level.filter("held")
     level = level.filter("not held").drop("held")
     decided = alone
     n = 0
@@ -169,10 +238,9 @@ def mix(
         decided = decided.unionByName(_decided(folded))
         level = _left(folded)
         n += 1
-    folded = _fold_groups(spark, level.unionByName(reserve).withColumns({"band": F.lit(0).cast("bigint"), "group": F.lit(0).cast("bigint")}), seed + n)
-    decided = decided.unionByName(_decided(folded))
-    level = _left(folded)
-    last = level.select("key", "doc_id", F.when(_uniform("key", F.lit(seed + 1)) < F.col("p"), 1.0).otherwise(0.0).alias("p"))
+    item = F.struct((-F.col("words")).alias("order"), "key", "words", "doc_id", "p", "held")
+    last = level.withColumn("held", F.lit(False)).unionByName(reserve).groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    last = materialize(spark, last.select(F.explode(_settle_levels(F.col("items"), seed + n)).alias("d")).select("d.key", "d.doc_id", "d.p"), "last")
     decided = decided.unionByName(last)
     chosen = decided.select("key", F.col("doc_id").alias("id"), F.round("p").cast("bigint").alias("extra"))
     both = known.join(chosen, (known["key"] == chosen["key"]) & known["doc_id"].eqNullSafe(chosen["id"]), "left")
@@ -188,9 +256,14 @@ def taken_words(spark: SparkSession, docs: DataFrame, weights: list[float], shar
 
 
 def take_copies(spark: SparkSession, docs: DataFrame, weights: list[float], share: float, seed: int = 0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (0, 1 or 2 times), with all columns."""
-    m = mix(spark, docs, weights, share, seed)
-    m = m.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    by = F.col("`doc_id`").eqNullSafe(F.col("__id")) & F.col("`source`").eqNullSafe(F.col("__source")) & (word_count(F.col("`text`")) == F.col("__size"))
-    copied = docs.join(m, by).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return copied.drop("__id", "__source", "__size", "__copies", "__copy")
+    """The rows of docs(doc_id, text, source, ...), each as often as the mix takes it (0, 1 or 2 times), with all columns.
+
+    As in mix(): repeated rows are taken alike, a null text has no words, null
+    ids and sources are values like others. Columns may have any further names;
+    an empty table gives an empty result.
+    """
+    names = free_names(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_copy")
+    m = mix(spark, docs, weights, share, seed).filter("copies > 0")
+    m = m.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size", "copies"), names, strict=False)])
+    by = F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1])) & (word_count(F.col("text")) == F.col(names[2]))
+    return docs.join(m, by).withColumn(names[4], F.explode(F.sequence(F.lit(1), F.col(names[3])))).drop(*names)

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize
+from quern.llm.common import connected_components, free_names, materialize, quoted, text_key
 
 GENERALISE, REMOVE = 0.75, 0.95
 #: How likely at most any term of an entity is judged by accident.
@@ -200,11 +200,12 @@ def find_pii(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     text_key is a 128-bit hash of the text. All documents' terms are counted,
     each once a document. Null texts are empty: no spans. Rows with equal texts
     have equal spans; repeated rows are each counted as a document. Terms are
-    spared pairing only if their counts rule them out.
+    spared pairing only if their counts rule them out. An empty table gives an
+    empty result. Other columns of docs aren't read, whatever their names.
     """
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    key = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
-    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), t.alias("text"))
+    t = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    key = F.struct(*text_key(F.col("text")))
+    read = docs.select(quoted(doc_id).cast("bigint").alias("doc_id"), t.alias("text"))
 
     with_spans = read.withColumn("spans", base_spans(F.col("text")))
     found = materialize(spark, with_spans.select("doc_id", key.alias("text_key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "pii")
@@ -283,22 +284,24 @@ def sanitise(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
 
     A span is replaced by its kind in brackets ([EMAIL], [TERM]), or taken out
     if its term is to be removed. Of overlapping spans the first is replaced
-    and the rest of the others goes with it. A null text stays null.
+    and the rest of the others goes with it. A null text stays null. Columns may
+    have any names; an empty table gives an empty result.
     """
     found = find_pii(spark, docs, doc_id, text)
-    per_text = found.select("text_key", F.array_sort(F.concat("spans", "added")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["text_key"])
-    per_text = materialize(spark, per_text.select(F.col("text_key").alias("__key"), "__spans"), "masks")
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    key = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
+    own_key, key, spans = free_names(docs, "own_key", "text_key", "all_spans")
+    per_text = found.select(F.col("text_key").alias(key), F.array_sort(F.concat("spans", "added")).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([key])
+    per_text = materialize(spark, per_text, "masks")
+    t = quoted(text).cast("string")
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def mask(acc: Column, s: Column) -> Column:
         label = F.when(s["action"] == "remove", "").otherwise(F.element_at(labels, s["kind"] + 1))
-        more = F.when(s["start"] >= acc["at"], F.array(F.substring(F.col(f"`{text}`"), acc["at"] + 1, s["start"] - acc["at"]), label)).otherwise(F.array().cast("array<string>"))
+        more = F.when(s["start"] >= acc["at"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), label)).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate("__spans", start, mask, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(f"`{text}`"), a["at"] + 1, F.length(F.col(f"`{text}`")))))
-    own = docs.withColumn("__own_key", key)
-    joined = own.join(per_text, F.col("__own_key") == F.col("__key"), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    masked = F.aggregate(spans, start, mask, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    own = docs.withColumn(own_key, F.struct(*text_key(F.coalesce(t, F.lit("")))))
+    joined = own.join(per_text, F.col(own_key) == F.col(key), "left")
+    clean = F.when(F.col(spans).isNull(), quoted(text)).otherwise(masked).alias(text)
+    return joined.select(*[clean if c == text else quoted(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import free_names, materialize, quoted
 
 #: Labelled documents that the driver learns from at most.
 TRAINING_ROWS = 20_000
@@ -162,7 +162,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: floa
     """The rows of docs(doc_id, text, ...) whose score reaches cut, with all their columns.
 
     Learned as in learn(); there is no shuffle of docs. Without labels of both
-    kinds nothing is rejected.
+    kinds nothing is rejected. Rows with null or empty texts are scored like
+    others, repeated rows alike; columns may have any names, and an empty table
+    gives an empty result.
     """
     model = learn(spark, docs, labels, cut)
 
@@ -170,8 +172,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: floa
     def extract(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    scored = docs.withColumn("__features", extract(F.col(f"`{text}`").cast("string")))
-    return scored.filter(model.score(F.col("__features")) >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = free_names(docs, "features")
+    scored = docs.withColumn(name, extract(quoted(text).cast("string")))
+    return scored.filter(model.score(F.col(name)) >= cut).drop(name)
 
 
 def _training_labels(labels: DataFrame) -> DataFrame:
@@ -181,7 +184,9 @@ def _training_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_from(spark: SparkSession, known: DataFrame, labels: DataFrame, cut: float) -> Ranking:
-    rows = known.join(F.broadcast(_training_labels(labels)), "doc_id").select("features", "quality").limit(2 * TRAINING_ROWS).toPandas()
+    rows = known.join(F.broadcast(_training_labels(labels)), "doc_id").select("doc_id", "features", "quality")
+    # where ids repeat there may be more rows than labels: twice as many at most, chosen by hash
+    rows = rows.orderBy(F.xxhash64("doc_id", "features", "quality")).limit(2 * TRAINING_ROWS).select("features", "quality").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), cut)
     x = np.stack(rows["features"].to_numpy())

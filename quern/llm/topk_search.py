@@ -20,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors that a task searches, queries that are sent to it together, and those that it bounds side by side.
-VECTOR_BLOCK, QUERY_BLOCK, SIDE_BY_SIDE = 1024, 4096, 256
+#: Vectors that a task searches: a 64th of all between these bounds, so that large tables aren't dealt to ever more blocks of one size.
+LEAST_BLOCK, LARGEST_BLOCK, BLOCKS = 1024, 16384, 64
+#: Queries that are sent to a block together, and bounds (queries by vectors) that are held side by side.
+QUERY_BLOCK, SIDE_BY_SIDE = 4096, 1 << 18
 #: Depths, as shares of a list, at which the bounds are compared.
 DEPTHS = (0.25, 0.5, 0.7, 0.85, 0.95, 1.0)
 #: Below this bound of a score, sums of products are exact in double precision.
@@ -31,7 +33,8 @@ EXACT = 2.0**52
 def search_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, position in vectors, score) of each query's k best vectors but its own."""
     if queries.size and vectors.size and float(np.abs(queries).max()) * float(np.abs(vectors).max()) * vectors.shape[1] >= EXACT:
-        exact = queries.astype(object) @ vectors.astype(object).T
+        whole = np.frompyfunc(int, 1, 1)  # products of Python floats would be rounded
+        exact = whole(queries) @ whole(vectors).T
         out = []
         for q in range(len(queries)):
             best = sorted((-int(s), int(ids[v]), v) for v, s in enumerate(exact[q]) if ids[v] != own[q])[:k]
@@ -44,9 +47,10 @@ def search_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own:
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     lists = np.take_along_axis(x, order, axis=0)
     out = []
-    for i in range(0, len(queries), SIDE_BY_SIDE):
-        q = queries[i : i + SIDE_BY_SIDE].astype(np.float64)
-        mine = ids[None] == own[i : i + SIDE_BY_SIDE, None]
+    side = max(8, SIDE_BY_SIDE // n)
+    for i in range(0, len(queries), side):
+        q = queries[i : i + side].astype(np.float64)
+        mine = ids[None] == own[i : i + side, None]
         going = np.arange(len(q))
         for share in DEPTHS:
             if not len(going):
@@ -99,13 +103,15 @@ def top_k(
     repeated queries are one. Vectors that are null or hold null or non-finite
     components, and rows without id, take no part; vectors of different length
     don't meet; empty vectors score 0. Scores beyond a long stop at its ends.
-    Results have fewer rows where there are fewer candidates.
+    Results have fewer rows where there are fewer candidates; an empty table
+    gives an empty result. Other columns aren't read, whatever their names.
     """
     read = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     ok = read.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     whole = ok.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     n, n_queries = ok.agg(F.count("*"), F.count(F.when(F.col("query"), 1))).first()
-    blocks, query_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    size = min(max(LEAST_BLOCK, n // BLOCKS), LARGEST_BLOCK)
+    blocks, query_blocks = max(1, -(-n // size)), max(1, -(-n_queries // QUERY_BLOCK))
     there = whole.select("id", "v", F.lit(False).alias("query"), F.monotonically_increasing_id().alias("at"))
     there = there.withColumn("block", F.pmod(F.xxhash64("id", "at"), F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = whole.filter("query").dropDuplicates(["id"]).select("id", "v", "query", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"))

@@ -18,7 +18,8 @@ class Trie:
 
     A node descends by host labels from the right; each node with rules has a
     second trie over whole path segments, and at each of its nodes the last,
-    partial segments of rules. Precedence: more characters of host and path
+    partial segments of rules by their length, longest first, so that a url
+    takes one lookup a length however many rules there are. Precedence: more characters of host and path
     together; for equal length the longer host; allow before block if the same
     rule stands in both lists.
     """
@@ -35,9 +36,20 @@ class Trie:
             *segments, rest = path.split("/")
             for s in segments:
                 node = node.setdefault("kids", {}).setdefault(s, {})
-            ends = node.setdefault("ends", {})
+            ends = node.setdefault("ends", {}).setdefault(len(rest), {})
             if ends.get(rest, ("",))[0] != "allow":
                 ends[rest] = (verdict, _lower(host) + path, len(host))
+        self._sort(self.root)
+
+    def _sort(self, root: dict) -> None:
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            if "ends" in node:
+                node["ends"] = dict(sorted(node["ends"].items(), reverse=True))
+            waiting += node.get("kids", {}).values()
+            if "paths" in node:
+                waiting.append(node["paths"])
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits, else None."""
@@ -49,10 +61,12 @@ class Trie:
             for i, s in enumerate(segments):
                 if at is None:
                     break
-                rest = "/".join(segments[i:]) if "ends" in at else ""
-                for end, (verdict, rule, n_host) in at.get("ends", {}).items():
-                    if rest.startswith(end) and (len(rule), n_host) > best_key:
-                        best, best_key = (verdict, rule), (len(rule), n_host)
+                for n, ends in at.get("ends", {}).items():
+                    if found := ends.get(s[:n]):
+                        verdict, rule, n_host = found
+                        if (len(rule), n_host) > best_key:
+                            best, best_key = (verdict, rule), (len(rule), n_host)
+                        break
                 at = at.get("kids", {}).get(s)
             if label is None or (node := node.get("kids", {}).get(label)) is None:
                 break
@@ -73,7 +87,8 @@ def filter_urls(
     There is no shuffle. A null url, or one without ://, has an empty host and
     path, so that no rule fits and the verdict is the default; so is that of a
     url no rule fits (rule is null then). Repeated rows are judged one by one.
-    Columns of pages that are named host, path, rule or verdict are replaced.
+    Columns of pages that are named host, path, rule or verdict are replaced;
+    others stay. An empty table gives an empty result.
     """
     blob = pickle.dumps(Trie(rules))
     if len(blob) > MAX_TRIE_BYTES:

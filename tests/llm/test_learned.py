@@ -59,3 +59,11 @@ def test_quality_edges(spark):
     assert {r.predicted for r in alone} == {1}  # nothing learned, nothing rejected
     assert quality.keep_good(spark, docs, labels.limit(0)).columns == docs.columns
     assert quality.score_quality(spark, docs.limit(0), docs, labels).count() == 0
+
+
+def test_keep_good_keeps_clashing_columns(spark, sf):
+    from quern.llm.quality import keep_good
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id as __features", "doc_id as features", "doc_id as score")
+    got = keep_good(spark, docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert got.columns == docs.columns and all(r.doc_id == r["__features"] == r.features == r.score for r in got.collect())

@@ -61,3 +61,42 @@ def test_edges(spark):
     copies = take_copies(spark, docs, [3, 1, 2], 1.5)
     assert copies.columns == docs.columns and copies.count() <= 2 * len(rows)
     assert taken_words(spark, docs.limit(0), [3, 1, 2], 1.5).count() == 0
+
+
+def test_near_target(spark):
+    """Every source of 50 documents or more comes within 0.5 % of its target, or its smallest document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    taken, target, least = defaultdict(int), {}, {}
+    for r in taken_words(spark, docs, [3, 1, 2], 1.5).collect():
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        target[s] = r.target
+        least[s] = min(r.size, least.get(s, r.size))
+    assert all(abs(taken[s] - target[s]) <= max(0.005 * target[s], least[s]) for s in target)
+
+
+def test_expected_copies(spark):
+    """Spreading the errors leaves expected copies as they were, but for the smallest documents, which take up the last; sums are near."""
+    from pyspark.sql import functions as F
+
+    from quern.llm.mixing import _settle_levels
+
+    words, runs = [60, 40, 30, *[20] * 10, *[10] * 20, *[1] * 7], 1500
+    docs = spark.createDataFrame([(i, w, i % 7 > 1) for i, w in enumerate(words)], "doc_id long, words long, held boolean").withColumn("p", F.lit(0.4))
+    docs = docs.crossJoin(spark.range(runs).withColumnRenamed("id", "run")).withColumn("key", F.xxhash64("run", "doc_id"))
+    item = F.struct((-F.col("words")).alias("order"), "key", "words", "doc_id", "p", "held")
+    done = docs.groupBy("run").agg(F.array_sort(F.collect_list(item)).alias("items")).select("run", F.explode(_settle_levels(F.col("items"), 0)).alias("d"))
+    rows = done.select("run", "d.doc_id", "d.p", "d.words").toPandas()
+    assert len(rows) == runs * len(words) and rows.p.isin([0, 1]).all()
+    large = rows[rows.words > 1]
+    assert (abs(large.groupby("doc_id").p.mean() - 0.4) < 4.5 * (0.24 / runs) ** 0.5).all()
+    sums = (rows.p * rows.words).groupby(rows.run).sum()
+    assert (abs(sums - 0.4 * sum(words)) < 10).all()  # the smallest of those that the one-word texts cannot make up for
+
+
+def test_clashing_names(spark):
+    names = ["__id", "mix_id", "mix_source", "mix_size", "mix_copies", "mix_copy", "size", "copies"]
+    docs = spark.createDataFrame([(i, "a b c", "s", *[i] * 8) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = take_copies(spark, docs, [3, 1], 1.5)
+    assert got.columns == docs.columns and got.count() >= 6 and all(set(r[3:]) == {r.doc_id} for r in got.collect())

@@ -71,10 +71,97 @@ def test_disclosing_terms(spark):
 
 
 def test_sanitise_edges(spark):
-    rows = [(1, None, "a"), (2, "", "b"), (3, "é a@b.cd 1.2.3.4 +49 30 1234567 x", "c"), (3, "é a@b.cd 1.2.3.4 +49 30 1234567 x", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, __spans string")
-    got = sorted((r.doc_id, r.text, r["__spans"]) for r in sanitise(spark, docs.withColumnRenamed("__spans", "extra")).withColumnRenamed("extra", "__spans").collect() if r.text is not None)
-    assert got == [(2, "", "b"), (3, "é [EMAIL] [IP] [PHONE] x", "c"), (3, "é [EMAIL] [IP] [PHONE] x", "c")]
+    names = ["__spans", "__key", "__own_key", "own_key", "text_key", "all_spans", "spans"]
+    rows = [(1, None), (2, ""), (3, "é a@b.cd 1.2.3.4 +49 30 1234567 x"), (3, "é a@b.cd 1.2.3.4 +49 30 1234567 x")]
+    docs = spark.createDataFrame([(*r, *"abcdefg") for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    clean = sanitise(spark, docs)
+    assert clean.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in clean.collect()))
+    assert got == [(1, ""), (2, ""), (3, "é [EMAIL] [IP] [PHONE] x"), (3, "é [EMAIL] [IP] [PHONE] x")]
+    assert all("".join(r[2:]) == "abcdefg" for r in clean.collect()) and [r.text for r in clean.filter("doc_id = 1").collect()] == [None]
+    assert sanitise(spark, docs.limit(0)).count() == 0
+
+
+def test_lower_case_that_lengthens(spark):
+    """Terms are located in the text as it stands, where lower case has more code points."""
+    rng = random.Random(12)
+    rows = [(i, f"İİİ Zebrowski ẞtraße {pseudo(rng, 30)} zed@corp.example.com {pseudo(rng, 30)}") for i in range(4)]
+    rows += [(100 + i, pseudo(rng, 20)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.added for r in find_pii(spark, docs).collect()}
+    for i, text in rows[:4]:
+        assert {text[s.start : s.end] for s in found[i]} >= {"İİİ", "Zebrowski", "ẞtraße"}
+        assert all(text[s.start : s.end].lower() == s.value for s in found[i])
+    assert all("brow" not in r.text and "traße" not in r.text for r in sanitise(spark, docs.filter("doc_id < 100 or doc_id > 0")).collect())
+
+
+def disclosed(rows):
+    """{doc_id: {term: disclosure}} by counting all terms of all documents; no two of them may be near copies."""
+    from math import log
+
+    entities, terms = {}, {}
+    for i, text in rows:
+        spans = base(text)
+        bare = list(text)
+        for a, _, b in spans:
+            bare[a:b] = " " * (b - a)
+        terms[i] = [w.lower() for w in re.findall(r"[^\W_]+", "".join(bare))]
+        entities[i] = {(k, text[a:b]) for a, k, b in spans}
+    n = len(rows)
+    with_term = {}
+    for i, words in terms.items():
+        for w in set(words):
+            with_term.setdefault(w, set()).add(i)
+    found = {}
+    for e in {e for es in entities.values() for e in es}:
+        have = {i for i, es in entities.items() if e in es}
+        if len(have) < 2 or len(have) == n:
+            continue
+        tested = {}
+        for w in {w for i in have for w in terms[i]}:
+            both = have & with_term[w]
+            if len(with_term[w]) > 1 and len(with_term[w]) <= len(have) * (n / len(have)) ** (1 - 0.75) * (1 + 1e-9):
+                views = []
+                for before, after in ((5, 5), (10, 0), (0, 10)):
+                    seen = {}
+                    for i in both:
+                        at = [j for j, x in enumerate(terms[i]) if x == w]
+                        whole = [tuple(terms[i][j - before : j + after + 1]) if j >= before and j + after < len(terms[i]) else i for j in at]
+                        seen[i] = whole
+                    views.append(seen)
+                tested[w] = (both, views)
+        for w, (both, views) in tested.items():
+            k = min([len(both), *(len({x for xs in v.values() for x in xs}) for v in views)])
+            expected = len(have) * len(with_term[w]) / n
+            if k > 1 and k > expected and k * log(k / expected) - (k - expected) >= log(len(tested) / 0.05):
+                score = log(len(both) * n / (len(have) * len(with_term[w]))) / log(n / len(have))
+                if score >= 0.75:
+                    for i in both:
+                        found.setdefault(i, {})[w] = max(score, found.get(i, {}).get(w, 0))
+    return found
+
+
+def test_disclosure_against_brute_force(spark):
+    """Every judged term and action of a corpus without copies, by the formula alone."""
+    rng = random.Random(21)
+    common = pseudo(rng, 40).split()
+    rows = []
+    for e in range(12):
+        names = pseudo(rng, 3).split()
+        for d in range(rng.choice([2, 3, 5])):
+            words = [rng.choice(common) for _ in range(20)] + pseudo(rng, 25).split()
+            words += [w for w in names if rng.random() < 0.8]
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join([*words[:20], f"user{e}@mail.example.org", *words[20:]])))
+        for _ in range(rng.choice([0, 0, 1, 2])):  # the name elsewhere
+            rows.append((len(rows), " ".join([names[0], *pseudo(rng, 20).split()])))
+    rows += [(1000 + i, " ".join([*pseudo(rng, 12).split(), *rng.sample(common, 10)])) for i in range(300)]
+    want = disclosed(rows)
+    got = {}
+    for r in find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for s in r.added:
+            got.setdefault(r.doc_id, {})[s.value] = s.action
+    assert {i: {w: "remove" if x >= 0.95 else "generalise" for w, x in ws.items()} for i, ws in want.items()} == got and len(got) > 20
 
 
 def pseudo(rng, n):

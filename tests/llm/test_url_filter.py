@@ -32,3 +32,17 @@ def test_edges(spark):
     ]
     assert got == sorted(want, key=str)
     assert filter_urls(spark, df.limit(0), URL_RULES).count() == 0
+
+
+def test_many_partial_segments(spark):
+    """The longest of many rules that end within a segment, by plain comparison of all."""
+    import random
+
+    rng = random.Random(3)
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["a.com", "com"]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 5)))) for _ in range(200)]
+    trie = Trie(rules)
+    for _ in range(500):
+        path = "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 7)))
+        fit = [(len(h) + len(p), len(h), v == "allow", v, h + p) for v, h, p in rules if path.startswith(p)]
+        assert trie.match("a.com", path) == (max(fit)[3:] if fit else None)
+    assert filter_urls(spark, spark.createDataFrame([], "page_id long, url string"), rules).count() == 0

@@ -93,3 +93,8 @@ def test_block_search_stops_only_when_safe():
         for a in range(40):
             want = sorted((-int(s), int(i)) for s, i in zip(x @ q[a], ids, strict=True) if i != own[a])[:10]
             assert sorted(got[a]) == want
+
+
+def test_large_scores_are_integers():
+    q, x = np.array([[2.0**53, 1.0]]), np.array([[1.0, 3.0], [1.0, 2.0]])
+    assert [(int(v), s) for _, v, s in search_block(q, x, np.array([5, 6]), np.array([-1]), 2)] == [(0, 2**53 + 3), (1, 2**53 + 2)]
