@@ -17,15 +17,14 @@ t = p/q differ in at most (a + b)(q - p)/(q + p) elements.
 Equal sets are one class from the start, and a task makes the keys of a class
 once. The keys are worked through in slices, so that the disks hold the shuffle
 of one slice at a time. Within buckets (classes with a common key) no pairs are
-spelled out: what is verified is first each class against the least of its
-bucket, and against the greatest where the others still belong to several
-components; then, where what remains of a bucket still does, a spanning forest of
-the pairs that the sketch lets through, nearest first. Any
-other pair that the sketch lets through lies in one component of links and
-proposed pairs (a cluster), so last the clusters that still hold several
-components of links are compared text by text, in tiles that send on a forest of
-links. Buckets of more than HOT classes are split by a second common key, which
-every pair has.
+spelled out. Each class is held against the least of its bucket, by sketch, and
+what the sketch lets through is verified and makes clusters. Where the others of
+a bucket still belong to several clusters they are held against the greatest;
+where what remains does, in tiles, a forest of the pairs that the sketch lets
+through joins their clusters. So every pair that the sketch lets through lies in
+one cluster, and last the clusters that hold several components of links are
+compared text by text, in tiles that send on a forest of links. Buckets of more
+than HOT classes are split by a second common key, which every pair has.
 """
 
 from __future__ import annotations
@@ -48,7 +47,7 @@ SKETCH_BITS = 2
 #: Classes of a bucket that one tile holds on each side, and from which on a bucket is split by second keys.
 TILE, HOT = 1024, 2048
 #: Classes of a cluster, with their texts, that one tile holds on each side.
-TEXTS = 256
+TEXTS = 128
 #: Parts of the keys that are shuffled one after another.
 SLICES = 4
 #: Up to so many classes are broadcast to fetch their texts.
@@ -483,33 +482,36 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
 
     a, b = (sketches.select(F.col("class").alias(c), "band", F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
 
-    def star(pairs: DataFrame) -> DataFrame:
-        """The links among pairs(a, b, band)."""
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b, band) that the sketches let through."""
         both = pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
-        return verify(materialize(spark, both.mapInArrow(_close(p, q), "a bigint, b bigint").distinct(), "stars"))
+        return materialize(spark, both.mapInArrow(_close(p, q), "a bigint, b bigint").distinct(), "near")
 
     def apart(rows: DataFrame) -> DataFrame:
-        """The rows(key, class) of buckets that hold several components, with these and the size of the bucket."""
-        at = rows.withColumnRenamed("class", "id").join(components, "id", "left")
+        """The rows(key, class) of buckets that hold several clusters, with these and the size of the bucket."""
+        at = rows.withColumnRenamed("class", "id").join(clusters, "id", "left")
         at = at.select("key", F.col("id").alias("class"), F.coalesce("component", "id").alias("component"))
         return materialize(spark, at.join(materialize(spark, _mixed(at), "mixed"), "key"), "rows")
 
+    def clustered() -> DataFrame:
+        return materialize(spark, connected_components(spark, joint), "clusters")
+
     # each class of a bucket against its least, then the others against the greatest
     band = F.pmod("key", F.lit(256)).cast("int").alias("band")
-    links = star(buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), band).distinct())
-    components = materialize(spark, connected_components(spark, links), "components")
+    joint = near(buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), band).distinct())
+    links, clusters = verify(joint), clustered()
     rows = apart(buckets.filter("class <> least").select("key", "class"))
     if not rows.isEmpty():
         most = rows.groupBy("key").agg(F.max("class").alias("most"))
         pairs = rows.join(most, "key").filter("class <> most")
         seconds = pairs.select(F.col("most").alias("a"), F.col("class").alias("b"), "component", band).distinct()
-        ends = components.select(F.col("id").alias("a"), F.col("component").alias("end"))
-        seconds = seconds.join(ends, "a", "left").filter(F.coalesce("end", "a") != F.col("component")).select("a", "b", "band")
-        links = links.unionByName(star(seconds))
-        components = materialize(spark, connected_components(spark, links), "components")
+        ends = clusters.select(F.col("id").alias("a"), F.col("component").alias("end"))
+        seconds = near(seconds.join(ends, "a", "left").filter(F.coalesce("end", "a") != F.col("component")).select("a", "b", "band"))
+        links, joint = links.unionByName(verify(seconds)), joint.unionByName(seconds)
+        clusters = clustered()
         rows = apart(pairs.select("key", "class"))
 
-    # then those that are left against each other, where they are not linked yet
+    # then those that are left against each other, where no cluster holds them yet
     if not rows.isEmpty():
         rows = _split(spark, rows, buckets)
         chunks = F.ceil(F.col("n") / TILE).cast("int")
@@ -520,15 +522,13 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
         )
         at_tile = ["key", "ti", "tj"]
         proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q), "a bigint, b bigint")
-        proposed = materialize(spark, proposed.distinct(), "proposed")
-        joint = links.unionByName(proposed)
-        links = links.unionByName(verify(proposed))
-        components = materialize(spark, connected_components(spark, links), "components")
-
-        # a pair that the sketches let through and nothing has joined yet lies in one component of the pairs proposed
-        more = _rest(spark, materialize(spark, connected_components(spark, joint), "clusters"), components, fetch, k, p, q)
-        if more is not None and not more.isEmpty():
-            components = materialize(spark, connected_components(spark, links.unionByName(more)), "components")
+        joint = joint.unionByName(materialize(spark, proposed.distinct(), "proposed"))
+        clusters = clustered()
+
+    components = materialize(spark, connected_components(spark, links), "components")
+    more = _rest(spark, clusters, components, fetch, k, p, q)
+    if more is not None and not more.isEmpty():
+        components = materialize(spark, connected_components(spark, links.unionByName(more)), "components")
     return sets.join(components, sets["class"] == components["id"], "left").select(sets["*"], F.coalesce("component", "class").alias("component"))
 
 
