@@ -12,7 +12,7 @@ from quern.operators.joins import range_join
 from quern.operators.json_table import Nested, Path, json_table
 from quern.operators.recursion import fixpoint
 from quern.plans.engine import Engine
-from quern.plans.suite import R, S
+from quern.plans.suite import COLLATED, R, S
 from quern.session import shared_dir
 from quern.sources import versioned
 from quern.sources.versioned import DELETED, VERSION
@@ -20,14 +20,16 @@ from quern.streaming import cdc
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 Query = Callable[[SparkSession, str], DataFrame]
-_ENGINES: dict[tuple[str, str], Engine] = {}
+#: Primary keys of the driver's tables.
+KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "events": ("event_id",)}
+_ENGINES: dict[tuple, Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """One engine for each application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ENGINES:
-        _ENGINES[key] = Engine(spark).register(sf_dir, TABLES)
+        _ENGINES[key] = Engine(spark).register(sf_dir, TABLES, KEYS)
     return _ENGINES[key]
 
 
@@ -35,6 +37,19 @@ def _text(sql: str) -> Query:
     return lambda spark, sf_dir: engine(spark, sf_dir).query(sql)
 
 
+def _collated(sql: str) -> Query:
+    """The text over tables whose text columns have the dialect's default collation; results are plain text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, "ci")
+        if key not in _ENGINES:
+            _ENGINES[key] = Engine(spark).register(sf_dir, TABLES, KEYS, collation="utf8mb4_0900_ai_ci")
+        out = _ENGINES[key].query(sql)
+        return out.select(*[F.collate(c, "UTF8_BINARY").alias(c) if kind.startswith("string") else c for c, kind in out.dtypes])
+
+    return run
+
+
 def _scalar(name: str) -> tuple[str, str]:
     table, key, expr, oracle = S[name]
     return f"SELECT {key} AS k, {expr} AS v FROM {table}", f"SELECT {key} AS k, {oracle} AS v FROM {table}"
@@ -162,10 +177,12 @@ OPERATOR_SQL = {
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _text(sql) for name, (sql, _) in R.items()}
     out |= {name: _text(_scalar(name)[0]) for name in S}
+    out |= {name: _collated(sql) for name, (sql, _) in COLLATED.items()}
     return out | OPERATORS
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: oracle or sql for name, (sql, oracle) in R.items()}
     out |= {name: _scalar(name)[1] for name in S}
+    out |= {name: oracle for name, (_, oracle) in COLLATED.items()}
     return out | OPERATOR_SQL

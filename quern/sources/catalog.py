@@ -43,6 +43,9 @@ class Catalog:
         table.frame.createOrReplaceTempView(table.name)
         return table
 
+    def databases(self) -> list[str]:
+        return ["main", "information_schema"]
+
     def add_parquet(self, name: str, path: str, primary: tuple[str, ...] = (), defaults: dict[str, object] | None = None) -> Table:
         return self.add(Table(name, self.spark.read.parquet(path), primary, defaults=defaults or {}))
 

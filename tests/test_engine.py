@@ -65,6 +65,35 @@ def test_statements(engine):
             engine.query(bad)
 
 
+def test_settings_act_or_are_refused(engine):
+    engine.query("CREATE TABLE many (id INT PRIMARY KEY, word VARCHAR(20))")
+    engine.query("INSERT INTO many (id, word) VALUES (1, 'one'), (2, 'two'), (3, 'three')")
+    try:
+        engine.query("SET sql_select_limit = 2")
+        assert engine.query("SELECT id FROM many").count() == 2
+        assert engine.query("SELECT id FROM many LIMIT 3").count() == 3
+        engine.query("SET SESSION group_concat_max_len = 5")
+        assert one(engine, "SELECT GROUP_CONCAT(word ORDER BY id) AS v FROM many") == "one,t"
+        assert one(engine, "SELECT @@group_concat_max_len AS v") == 5
+    finally:
+        engine.query("SET sql_select_limit = DEFAULT")
+        engine.query("SET group_concat_max_len = DEFAULT")
+    assert engine.query("SELECT id FROM many").count() == 3
+    engine.query("USE main")
+    with pytest.raises(ValueError, match="1049"):
+        engine.query("USE elsewhere")
+    engine.query("SET sql_mode = 'STRICT_TRANS_TABLES,ONLY_FULL_GROUP_BY'")
+    for bad in ("SET sql_mode = ''", "SET max_execution_time = 5", "SET autocommit = 0", "SET collation_connection = 'utf8mb4_bin'"):
+        with pytest.raises(Unsupported):
+            engine.query(bad)
+
+
+def test_functional_dependence_needs_the_key(engine):
+    assert sorted(map(tuple, engine.query("SELECT m.id, word, COUNT(*) AS n FROM many AS m GROUP BY m.id").collect())) == [(1, "one", 1), (2, "two", 1), (3, "three", 1)]
+    with pytest.raises(Exception, match="(?i)aggregat"):
+        engine.query("SELECT id, word, COUNT(*) AS n FROM many GROUP BY word")
+
+
 def test_versions_replays_and_tombstones(spark):
     rows = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (2, "c", 1, False), (2, "c", 3, True), (3, "d", 1, False)], f"id int, v string, {VERSION} long, {DELETED} boolean")
     want = {(1, "b"), (3, "d")}
