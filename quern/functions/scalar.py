@@ -7,6 +7,8 @@ Spark has with the same meaning map to themselves.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 Builder = Callable[..., str]
@@ -409,10 +411,17 @@ def _json_keys(j: str, path: str | None = None) -> str:
     return f"(CASE WHEN json_object_keys({j}) IS NOT NULL THEN concat('[', array_join(transform({keys}, k -> concat('\"', k, '\"')), ', '), ']') END)"
 
 
+def json_exists(doc: str, path: str) -> str:
+    """Whether there is anything, a JSON null included, at a path."""
+    if re.fullmatch(r"'\$(\.\w+|\[\d+\])+'", path):
+        return f"(try_variant_get(try_parse_json({doc}), {path}, 'variant') IS NOT NULL)"
+    return f"({doc} IS NOT NULL)" if path == "'$'" else f"(get_json_object({doc}, {path}) IS NOT NULL)"
+
+
 @define("JSON_CONTAINS_PATH")
 def _json_contains_path(j: str, how: str, *paths: str) -> str:
     one = how.strip("'\"").lower() == "one"
-    tests = (" OR " if one else " AND ").join(f"get_json_object({j}, {p}) IS NOT NULL" for p in paths)
+    tests = (" OR " if one else " AND ").join(json_exists(j, p) for p in paths)
     return f"(CASE WHEN {j} IS NULL THEN NULL WHEN {tests} THEN 1 ELSE 0 END)"
 
 

@@ -39,7 +39,9 @@ class Nested:
 
 
 def _rows(doc: Column, path: str) -> Column:
-    """The array of row documents at a path: '$' one row, '$.a[*]' the elements of $.a."""
+    """The array of row documents at a path: '$' one row, '$.a[*]' the elements of $.a. Other wildcards are refused; the text form has them."""
+    if "*" in path.removesuffix("[*]") or " to " in path:
+        raise ValueError(f"row path {path}")
     if path.endswith("[*]"):
         inner = F.get_json_object(doc, path[:-3]) if path != "$[*]" else doc
         return F.from_json(inner, "array<string>")

@@ -177,6 +177,10 @@ both("system_variables", "SELECT @@autocommit AS a, @@lower_case_table_names AS
 
 both("json_table_text", "SELECT e.event_id, jt.ord, jt.k, jt.h FROM events e, JSON_TABLE(CONCAT('[', e.props, ',{}]'), '$[*]' COLUMNS (ord FOR ORDINALITY, k INT PATH '$.k' DEFAULT '-1' ON EMPTY, h INT EXISTS PATH '$.k')) AS jt", "SELECT event_id, CAST(ord AS INTEGER) AS ord, CASE ord WHEN 1 THEN CAST(props ->> '$.k' AS INTEGER) ELSE -1 END AS k, CASE ord WHEN 1 THEN 1 ELSE 0 END AS h FROM events, (VALUES (1), (2)) t(ord)")
 both("json_table_text_nested", "SELECT e.event_id, jt.a, jt.b FROM events e LEFT JOIN JSON_TABLE(CONCAT('{\"a\": [1, 2], \"b\": [', e.user_id, ']}'), '$' COLUMNS (NESTED PATH '$.a[*]' COLUMNS (a BIGINT PATH '$'), NESTED PATH '$.b[*]' COLUMNS (b BIGINT PATH '$'))) AS jt ON TRUE", "SELECT event_id, CAST(a AS BIGINT) AS a, CASE WHEN a IS NULL THEN user_id END AS b FROM events, (VALUES (1), (2), (NULL)) t(a)")
+both("json_table_wildcard", "SELECT e.event_id, jt.ord, jt.k FROM events e, JSON_TABLE(CONCAT('{\"a\": [', e.props, ', {\"k\": null}, {}]}'), '$.a[*].k' COLUMNS (ord FOR ORDINALITY, k INT PATH '$')) AS jt", "SELECT event_id, CAST(ord AS INTEGER) AS ord, CASE ord WHEN 1 THEN CAST(props ->> '$.k' AS INTEGER) END AS k FROM events, (VALUES (1), (2)) t(ord)")
+both("json_table_on_error", "SELECT e.event_id, jt.ord, jt.k, jt.h FROM events e, JSON_TABLE(CONCAT('[', e.props, ', {\"k\": null}, {\"k\": \"x\"}, {}]'), '$[*]' COLUMNS (ord FOR ORDINALITY, k INT PATH '$.k' DEFAULT '-1' ON EMPTY DEFAULT '-2' ON ERROR, h INT EXISTS PATH '$.k')) AS jt", "SELECT event_id, CAST(ord AS INTEGER) AS ord, CASE ord WHEN 1 THEN CAST(props ->> '$.k' AS INTEGER) WHEN 3 THEN -2 WHEN 4 THEN -1 END AS k, CASE WHEN ord < 4 THEN 1 ELSE 0 END AS h FROM events, (VALUES (1), (2), (3), (4)) t(ord)")
+both("cte_recursive_distinct_text", "WITH RECURSIVE reach(src, dst) AS (SELECT a.n_nationkey, b.n_nationkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey - a.n_nationkey = 5 UNION SELECT r.src, b.n_nationkey FROM reach r JOIN nation b ON (b.n_nationkey - r.dst) % 25 IN (5, -20)) SELECT src, COUNT(*) AS n, SUM(dst) AS total FROM reach GROUP BY src")
+both("cast_unsigned", "SELECT c_custkey, CAST(-1 - c_custkey AS UNSIGNED) AS wrapped, CAST(c_custkey AS UNSIGNED) AS same FROM customer", "SELECT c_custkey, CAST(18446744073709551615 - c_custkey AS DECIMAL(20, 0)) AS wrapped, CAST(c_custkey AS DECIMAL(20, 0)) AS same FROM customer")
 both("numeric_truth", "SELECT c_custkey, IF(MOD(c_custkey, 2), 'odd', 'even') AS v FROM customer WHERE FIND_IN_SET(c_mktsegment, 'BUILDING,MACHINERY') AND 1 AND NOT INSTR(c_name, '7')", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'odd' ELSE 'even' END AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name NOT LIKE '%7%'")
 both("straight_subquery_ops", "SELECT COUNT(*) AS n FROM orders WHERE o_orderkey BETWEEN 5 AND 50 AND 1 = 1")
 

@@ -88,6 +88,41 @@ def test_settings_act_or_are_refused(engine):
             engine.query(bad)
 
 
+def test_prepared_statements(engine):
+    engine.query("SET @low = 2")
+    engine.query("PREPARE later FROM 'SELECT id, ? AS w, ''it''''s'' AS z FROM many WHERE id > ?'")
+    engine.query("SET @w = 'x'")
+    assert [tuple(r) for r in engine.query("EXECUTE later USING @w, @low").collect()] == [(3, "x", "it's")]
+    with pytest.raises(ValueError, match="1210"):
+        engine.query("EXECUTE later USING @w")
+    engine.query("DEALLOCATE PREPARE later")
+    with pytest.raises(ValueError, match="1243"):
+        engine.query("EXECUTE later")
+
+
+def test_json_table_paths(engine):
+    doc = '{"a": [{"b": 1}, {"b": null}, {"b": "x", "c": [1, 2, 3]}, {}], "m": {"p": 5, "q": 6}}'
+    rows = lambda path, columns="v INT PATH '$'": [tuple(r) for r in engine.query(f"SELECT jt.* FROM JSON_TABLE('{doc}', '{path}' COLUMNS ({columns})) AS jt").collect()]
+    assert rows("$.a[*].c[*]") == [(1,), (2,), (3,)]
+    assert rows("$.a[2].c[1 to 2]") == [(2,), (3,)]
+    assert rows("$.m.*") == [(5,), (6,)]
+    assert rows("$.a[*].b", "v VARCHAR(9) PATH '$'") == [("1",), (None,), ("x",)]
+    assert rows("$.a[*]", "o FOR ORDINALITY, v INT PATH '$.b' DEFAULT '-1' ON EMPTY DEFAULT '-2' ON ERROR") == [(1, 1), (2, None), (3, -2), (4, -1)]
+    with pytest.raises(Exception, match="3156"):
+        rows("$.a[*]", "v INT PATH '$.b' ERROR ON ERROR")
+    with pytest.raises(Exception, match="3966"):
+        rows("$.a[*]", "v INT PATH '$.b' ERROR ON EMPTY")
+    with pytest.raises(Unsupported):
+        rows("$**.b")
+
+
+def test_recursive_union_distinct_from_text(engine):
+    ring = "WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT (n + 3) % 7 FROM r), s AS (SELECT COUNT(*) AS c FROM r) SELECT r.n, s.c FROM r, s ORDER BY n"
+    assert [tuple(r) for r in engine.query(ring).collect()] == [(n, 7) for n in range(7)]
+    with pytest.raises(Unsupported):
+        engine.query("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT n FROM r UNION ALL SELECT n FROM r) SELECT n FROM r")
+
+
 def test_functional_dependence_needs_the_key(engine):
     assert sorted(map(tuple, engine.query("SELECT m.id, word, COUNT(*) AS n FROM many AS m GROUP BY m.id").collect())) == [(1, "one", 1), (2, "two", 1), (3, "three", 1)]
     with pytest.raises(Exception, match="(?i)aggregat"):
