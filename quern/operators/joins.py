@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The level of intervals of no length, and that of unbounded ones, which hold a single cell.
+POINT, ENDLESS = -2000, 1001
+
 
 def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, high: Column, width: float, how: str = "inner") -> DataFrame:
     """Rows of left and right with low <= point <= high; point is of left, the bounds of right.
@@ -13,6 +16,7 @@ def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, hi
     interval is repeated in each that it touches, and the join is an equi-join
     on the bin, which shuffles and spills; the bounds are tested within. Choose
     width near the usual interval's length: much longer ones are repeated often.
+    Where lengths differ widely, `interval_cells` and `point_cells` need no width.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -21,3 +25,27 @@ def range_join(left: DataFrame, right: DataFrame, point: Column, low: Column, hi
     b = right.filter(low <= high).withColumns({"_low": low, "_high": high}).withColumn("_cell", F.explode(F.sequence(at(low), at(high))))
     inside = (F.col("_bin") == F.col("_cell")) & (F.col("_point") >= F.col("_low")) & (F.col("_point") <= F.col("_high"))
     return a.join(b, inside, how).drop("_bin", "_point", "_cell", "_low", "_high")
+
+
+def level(low: str, high: str) -> str:
+    """SQL of the power of two whose cells are longer than the interval from low to high, both doubles."""
+    return f"(CASE WHEN {high} - {low} = 0 THEN {POINT} ELSE cast(ceil(least(log2({high} - {low}), {ENDLESS - 1}D)) AS int) + 1 END)"
+
+
+def _cell(x: str, e: str) -> str:
+    return f"(CASE WHEN {e} = {POINT} THEN xxhash64({x} + 0D) WHEN {e} >= {ENDLESS} THEN 0L ELSE cast(floor({x} / power(2D, {e})) AS bigint) END)"
+
+
+def interval_cells(low: str, high: str) -> str:
+    """SQL of the cells, structs (e, c), of an interval: one or two of its own level."""
+    both = ", ".join(f"struct(e AS e, {_cell(x, 'e')} AS c)" for x in (low, high))
+    return f"(CASE WHEN {low} <= {high} THEN flatten(transform(array({level(low, high)}), e -> array_distinct(array({both})))) END)"
+
+
+def point_cells(point: str, levels: str) -> str:
+    """SQL of the cells that hold a point, one of each level in an array.
+
+    A point in an interval shares exactly one cell with it. There are at most
+    some 2,100 levels of doubles; intervals of like length have two or three.
+    """
+    return f"(CASE WHEN {point} IS NOT NULL THEN transform({levels}, e -> struct(e AS e, {_cell(point, 'e')} AS c)) END)"

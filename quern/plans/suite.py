@@ -406,6 +406,16 @@ both("win_row_number_no_order", "SELECT COUNT(*) AS n, MAX(r) AS top FROM (SELEC
 both("win_ignored_frame", "SELECT n_nationkey, RANK() OVER (PARTITION BY n_regionkey ORDER BY n_name ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS r FROM nation", "SELECT n_nationkey, CAST(RANK() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INTEGER) AS r FROM nation")
 both("agg_grouping_pair", "SELECT c_nationkey, c_mktsegment, GROUPING(c_nationkey, c_mktsegment) AS g, COUNT(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment WITH ROLLUP", "SELECT c_nationkey, c_mktsegment, GROUPING(c_nationkey, c_mktsegment) AS g, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
 
+# --- text that meets numbers, and numbers that stand as conditions
+both("coerce_text_literal", "SELECT c_custkey, c_custkey + '2 more' AS more FROM customer WHERE c_custkey <= '10abc'", "SELECT c_custkey, c_custkey + 2 AS more FROM customer WHERE c_custkey <= 10")
+both("coerce_text_column", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment = 0 AND c_mktsegment < 1", "SELECT COUNT(*) AS n FROM customer")
+both("coerce_join_key", "SELECT n.n_nationkey, r.r_name FROM nation n JOIN (SELECT CAST(r_regionkey AS CHAR) AS key_text, r_name FROM region) r ON n.n_regionkey = r.key_text", "SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+both("numeric_column_truth", "SELECT n_nationkey FROM nation WHERE n_regionkey AND NOT n_nationkey OR n_regionkey", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0 AND NOT n_nationkey <> 0 OR n_regionkey <> 0")
+
+# --- joins on ranges, from text: cells instead of a nested loop
+both("range_join_times", "SELECT a.event_type, COUNT(*) AS n FROM events a JOIN events b ON a.ts >= b.ts AND a.ts < b.ts + INTERVAL 1 HOUR AND b.event_type = 'error' GROUP BY a.event_type")
+both("range_join_numbers", "SELECT l.l_orderkey, COUNT(*) AS n FROM lineitem AS l INNER JOIN nation ON l_quantity BETWEEN n_nationkey - 3 AND n_nationkey + n_regionkey * 2 GROUP BY l.l_orderkey")
+
 # --- collations: named in the text
 both("collate_equal", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment COLLATE utf8mb4_0900_ai_ci = 'Bu\u00eflding'", "SELECT COUNT(*) AS n FROM customer WHERE strip_accents(lower(c_mktsegment)) = 'building'")
 both("collate_binary", "SELECT SUM(BINARY c_mktsegment = 'building') AS low, COUNT(*) AS n FROM customer".replace("SUM(BINARY c_mktsegment = 'building')", "COUNT(CASE WHEN BINARY c_mktsegment = 'building' THEN 1 END)"), "SELECT 0 AS low, COUNT(*) AS n FROM customer")

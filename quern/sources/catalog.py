@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import shared_dir
+
 _MYSQL_TYPES = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint", "double": "double", "float": "float", "string": "varchar", "boolean": "tinyint", "timestamp": "datetime", "timestamp_ntz": "datetime", "date": "date", "binary": "varbinary"}
 
 
@@ -22,6 +25,10 @@ class Table:
     unique: tuple[tuple[str, ...], ...] = ()
     local: bool = False
     defaults: dict[str, object] = field(default_factory=dict)
+    #: Folders of a local table's rows, one for each INSERT, below the folder shared by the cluster.
+    parts: list[str] = field(default_factory=list)
+    #: The declared schema of a local table: files don't keep NOT NULL.
+    schema: T.StructType | None = None
 
 
 def mysql_type(kind: T.DataType) -> str:
@@ -34,6 +41,7 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, Table] = {}
+        self.folder = f"{shared_dir(spark)}/quern-local/{uuid.uuid4().hex}"
 
     def add(self, table: Table) -> Table:
         missing = {c: v for c, v in table.defaults.items() if c not in table.frame.columns}
@@ -43,6 +51,15 @@ class Catalog:
         table.frame.createOrReplaceTempView(table.name)
         return table
 
+    def close(self) -> None:
+        """Deletes the rows of local tables, which end with the session."""
+        for name in [t.name for t in self.tables.values() if t.local]:
+            self.spark.catalog.dropTempView(name)
+            del self.tables[name]
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def databases(self) -> list[str]:
         return ["main", "information_schema"]
 
@@ -70,7 +87,7 @@ class Catalog:
                     primary = (c[1],)
                 columns.append(T.StructField(c[1], kind, null))
             schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable and f.name not in primary) for f in columns])
-            self.add(Table(m[2], self.spark.createDataFrame([], schema), primary, local=True))
+            self.add(Table(m[2], self.spark.createDataFrame([], schema), primary, local=True, schema=schema))
             return self._ok()
         if m := re.match(r"\s*INSERT\s+INTO\s+`?(\w+)`?\s*(\(([^)]*)\))?\s*((VALUES|SELECT|WITH).*)$", sql, re.I | re.S):
             table = self.tables.get(m[1])
@@ -78,15 +95,22 @@ class Catalog:
                 raise ValueError(f"1146: {m[1]} is no local table")
             names = [c.strip(" `") for c in m[3].split(",")] if m[3] else table.frame.columns
             rows = self.spark.sql(m[4]).toDF(*names)
-            schema = table.frame.schema
+            schema = table.schema
             rows = rows.select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+            # written before it is checked, so that random values are those that are kept
+            part = f"{self.folder}/{table.name}/{len(table.parts)}"
+            rows.write.mode("overwrite").parquet(part)
+            rows = self.spark.read.schema(schema).parquet(part)
             for f in schema:
-                if not f.nullable and not rows.filter(F.col(f.name).isNull()).isEmpty():
+                if not f.nullable and not rows.filter(F.col(f"`{f.name}`").isNull()).isEmpty():
                     raise ValueError(f"1048: column {f.name} cannot be null")
-            both = table.frame.unionByName(rows)
-            if table.primary and not both.groupBy(*table.primary).count().filter("count > 1").isEmpty():
-                raise ValueError("1062: duplicate entry for key PRIMARY")
-            self.add(Table(table.name, self.spark.createDataFrame(both.toPandas(), schema), table.primary, local=True) if both.count() < 10_000 else Table(table.name, both, table.primary, local=True))
+            if table.primary:
+                # keys twice in the new rows, or there already: the old rows aren't grouped
+                own = rows.select(*table.primary)
+                if not own.groupBy(*table.primary).count().filter("count > 1").isEmpty() or not own.join(table.frame.select(*table.primary), list(table.primary), "left_semi").isEmpty():
+                    raise ValueError("1062: duplicate entry for key PRIMARY")
+            parts = [*table.parts, part]
+            self.add(Table(table.name, self.spark.read.schema(schema).parquet(*parts), table.primary, local=True, parts=parts, schema=schema))
             return self._ok()
         raise ValueError("1064: statement not supported")
 
@@ -109,7 +133,7 @@ class Catalog:
         """The information_schema relations."""
         make = lambda rows, schema: self.spark.createDataFrame(rows, schema)
         tables = list(self.tables.values())
-        columns = [("def", "main", t.name, f.name, i + 1, "YES" if f.nullable else "NO", mysql_type(f.dataType).split("(")[0], mysql_type(f.dataType), "PRI" if f.name in t.primary else "") for t in tables for i, f in enumerate(t.frame.schema)]
+        columns = [("def", "main", t.name, f.name, i + 1, "YES" if f.nullable else "NO", mysql_type(f.dataType).split("(")[0], mysql_type(f.dataType), "PRI" if f.name in t.primary else "") for t in tables for i, f in enumerate(t.schema or t.frame.schema)]
         keys = [("main", t.name, "PRIMARY", c, i + 1) for t in tables for i, c in enumerate(t.primary)] + [("main", t.name, f"unique_{k}", c, i + 1) for t in tables for k, u in enumerate(t.unique) for i, c in enumerate(u)]
         constraints = sorted({(a, b, c, "PRIMARY KEY" if c == "PRIMARY" else "UNIQUE") for a, b, c, _, _ in keys})
         return {
@@ -151,7 +175,7 @@ class Catalog:
             return rel["statistics"].filter(F.col("TABLE_NAME") == words[3].strip("`")).select(F.col("TABLE_NAME").alias("Table"), F.col("NON_UNIQUE").alias("Non_unique"), F.col("INDEX_NAME").alias("Key_name"), F.col("SEQ_IN_INDEX").alias("Seq_in_index"), F.col("COLUMN_NAME").alias("Column_name"))
         if up[1:3] == ["CREATE", "TABLE"]:
             t = self.tables[words[3].strip("`")]
-            lines = [f"  `{f.name}` {mysql_type(f.dataType)}{'' if f.nullable else ' NOT NULL'}" for f in t.frame.schema] + ([f"  PRIMARY KEY ({', '.join(f'`{c}`' for c in t.primary)})"] if t.primary else [])
+            lines = [f"  `{f.name}` {mysql_type(f.dataType)}{'' if f.nullable else ' NOT NULL'}" for f in (t.schema or t.frame.schema)] + ([f"  PRIMARY KEY ({', '.join(f'`{c}`' for c in t.primary)})"] if t.primary else [])
             return self.spark.createDataFrame([(t.name, f"CREATE TABLE `{t.name}` (\n" + ",\n".join(lines) + "\n)")], "Table string, `Create Table` string")
         if "VARIABLES" in up:
             from quern.plans.dialect import SYSTEM_VARIABLES

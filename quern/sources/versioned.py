@@ -1,7 +1,7 @@
 """Versioned tables: change rows in Parquet, merged when read.
 
 A change row has the table's columns, `_version` (the source's position, which
-only grows) and `_deleted`. The newest row of a key counts; a tombstone hides
+only grows: a number, or a struct of version and ordinal) and `_deleted`. The newest row of a key counts; a tombstone hides
 it. Re-reading old changes adds rows that lose, so replays change nothing.
 """
 
@@ -64,16 +64,20 @@ def poll_cursor(source: DataFrame, cursor: str, since: object) -> DataFrame:
     return source if since is None else source.filter(F.col(cursor) >= F.lit(since))
 
 
-def missing_keys(replica: DataFrame, source_keys: DataFrame, key: list[str], version: int) -> DataFrame:
+def _position(version: int | Column) -> Column:
+    return version if isinstance(version, Column) else F.lit(version).cast("bigint")
+
+
+def missing_keys(replica: DataFrame, source_keys: DataFrame, key: list[str], version: int | Column) -> DataFrame:
     """Tombstones for keys that the source no longer has."""
     gone = replica.join(source_keys, key, "left_anti")
-    return gone.withColumns({VERSION: F.lit(version).cast("bigint"), DELETED: F.lit(True)})
+    return gone.withColumns({VERSION: _position(version), DELETED: F.lit(True)})
 
 
-def cascade_orphans(children: DataFrame, parents: DataFrame, foreign: str, parent_key: str, version: int) -> DataFrame:
+def cascade_orphans(children: DataFrame, parents: DataFrame, foreign: str, parent_key: str, version: int | Column) -> DataFrame:
     """Tombstones for children whose parent is gone: cascades that the change log doesn't show."""
     orphans = children.filter(F.col(foreign).isNotNull()).join(parents.select(F.col(parent_key).alias(foreign)), foreign, "left_anti")
-    return orphans.select(*children.columns).withColumns({VERSION: F.lit(version).cast("bigint"), DELETED: F.lit(True)})
+    return orphans.select(*children.columns).withColumns({VERSION: _position(version), DELETED: F.lit(True)})
 
 
 def soft_deleted(rows: DataFrame, flag: Column) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.sources.versioned import DELETED, VERSION, latest
 
+#: The column that a batch's folder stands for.
+BATCH = "quern_batch"
 ENVELOPE = T.StructType([T.StructField(name, T.LongType() if name in ("ordinal", "version") else T.StringType()) for name in ("table", "op", "txn", "ordinal", "version", "before", "after")])
 
 
@@ -35,7 +37,7 @@ def mutations(envelopes: DataFrame, schema: T.StructType, key: list[str]) -> tup
     good = F.coalesce(good, F.lit(False)) & F.col("version").isNotNull()
     bad = parsed.filter(~good).select(*envelopes.columns)
     ok = parsed.filter(good)
-    order = F.col("version") * F.lit(1 << 20) + F.coalesce("ordinal", F.lit(0))
+    order = F.struct("version", F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
     ups = ok.filter(need_after).select("_a.*", order.alias(VERSION), F.lit(False).alias(DELETED))
     moved = (F.col("op") == "d") | sum_any([~F.col(f"_b.{c}").eqNullSafe(F.col(f"_a.{c}")) for c in key]) if key else F.lit(False)
     downs = ok.filter(need_before & moved).select("_b.*", order.alias(VERSION), F.lit(True).alias(DELETED))
@@ -62,14 +64,14 @@ def apply_stream(
     """Appends a table's changes to path/changes and undecodable rows to path/quarantine.
 
     Versions up to fence are in the snapshot and skipped. The checkpoint is in
-    path/checkpoint; a batch that is run again appends rows of the same
-    versions, which change nothing.
+    path/checkpoint; each batch has a folder of its own, which a batch that is
+    run again overwrites, so that tables without a key don't repeat rows either.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         rows, bad = mutations(batch.filter((F.col("table") == table) & (F.coalesce("version", F.lit(fence + 1)) > fence)), schema, key)
-        rows.write.mode("append").parquet(f"{path}/changes")
-        bad.write.mode("append").parquet(f"{path}/quarantine")
+        rows.write.mode("overwrite").parquet(f"{path}/changes/{BATCH}={number}")
+        bad.write.mode("overwrite").parquet(f"{path}/quarantine/{BATCH}={number}")
 
     writer = envelopes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
@@ -77,5 +79,5 @@ def apply_stream(
 
 def read_table(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     """The table as it is now: all change rows if it has no key, else the newest of each key."""
-    changes = spark.read.option("mergeSchema", "true").parquet(f"{path}/changes")
+    changes = spark.read.option("mergeSchema", "true").parquet(f"{path}/changes").drop(BATCH)
     return latest(changes, key) if key else changes.filter(~F.col(DELETED)).drop(VERSION, DELETED)

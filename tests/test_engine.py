@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 from quern.operators.joins import range_join
 from quern.plans.dialect import Unsupported, translate
 from quern.plans.engine import Engine
+from quern.plans.suite import R
+from quern.sources.catalog import Table
 from quern.sources.versioned import DELETED, VERSION, latest, missing_keys, unique_visible
 from quern.streaming.cdc import ENVELOPE, apply_stream, mutations, read_table
 
@@ -159,3 +161,40 @@ def test_range_join_against_plain(spark):
     got = range_join(a, b, F.col("p"), F.col("lo"), F.col("hi"), 2.5).select("x", "y")
     want = a.join(b, (F.col("p") >= F.col("lo")) & (F.col("p") <= F.col("hi"))).select("x", "y")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_range_joins_of_text_have_no_nested_loop(spark, sf):
+    engine = Engine(spark).register(sf, ["events", "lineitem", "nation", "supplier", "part"])
+
+    def plan(sql):
+        return engine.query(sql)._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("range_join_times", "range_join_numbers", "interval_join"):
+        assert "NestedLoop" not in plan(R[name][0]), name
+    # lengths from none to endless, bounds met exactly, NULLs: the same pairs as a left join, which isn't rewritten
+    rows = [(0.0, 0.0), (1.0, 1.0), (-3.5, 4.0), (4.0, 2.0), (0.1, 1e300), (float("-inf"), float("inf")), (2.0**53, 2.0**53 + 2), (None, 1.0), (5.0, None), (-1e-9, 1e-9)]
+    marks = [(x,) for x in (0.0, -0.0, 1.0, 4.0, -3.5, 1e-9, 2.0**53, 2.0**53 + 2, 1e300, 1e308, float("inf"), -1e308, None)]
+    for name, frame in (("spans", spark.createDataFrame(rows, "lo double, hi double")), ("marks", spark.createDataFrame(marks, "x double"))):
+        frame.createOrReplaceTempView(name)
+        engine.catalog.add(Table(name, engine.spark.createDataFrame(frame.collect(), frame.schema)))
+    text = "SELECT m.x, s.lo, s.hi FROM marks m JOIN spans s ON m.x BETWEEN s.lo AND s.hi"
+    got = engine.query(text)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    want = spark.sql(text)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_local_rows_lie_in_the_shared_folder(engine):
+    engine.query("CREATE TABLE kept (id INT PRIMARY KEY, v VARCHAR(9))")
+    assert engine.query("SELECT id FROM kept").count() == 0
+    for k in (1, 2):
+        engine.query(f"INSERT INTO kept VALUES ({k}, 'a')")
+    engine.query("INSERT INTO kept SELECT id + 10, v FROM kept")
+    assert sorted(r[0] for r in engine.query("SELECT id FROM kept").collect()) == [1, 2, 11, 12]
+    assert len(engine.catalog.tables["kept"].parts) == 3
+    for bad in ("VALUES (5, 'x'), (5, 'y')", "VALUES (11, 'x')"):
+        with pytest.raises(ValueError, match="1062"):
+            engine.query(f"INSERT INTO kept {bad}")
+    assert engine.query("SELECT id FROM kept").count() == 4
+    assert [r[2] for r in engine.query("DESCRIBE kept").collect()] == ["NO", "YES"]
