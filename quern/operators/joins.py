@@ -49,3 +49,24 @@ def point_cells(point: str, levels: str) -> str:
     some 2,100 levels of doubles; intervals of like length have two or three.
     """
     return f"(CASE WHEN {point} IS NOT NULL THEN transform({levels}, e -> struct(e AS e, {_cell(point, 'e')} AS c)) END)"
+
+
+#: Ranges of values that are counted side by side; a list of at most so many sums is carried from one to the next.
+RANGES = 256
+
+
+def counts_beside(asked: str, counted: str, sign: str) -> str:
+    """SQL of (quern_v, quern_c): for each value of the query asked, how many rows of the query counted are < it, or <=, >, >=.
+
+    Both give one column, v, of numbers. Rows aren't paired: equal
+    values are counted together before the shuffle, quantiles of the distinct
+    values cut them into ranges, and each range counts on from the sum of those
+    before it.
+    """
+    order = "DESC" if sign[0] == ">" else "ASC"
+    parts = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    return f"""WITH quern_u AS (SELECT v, sum(k) AS k, max(a) AS a FROM (SELECT v, 0L AS k, true AS a FROM ({asked}) UNION ALL SELECT v, 1L AS k, false AS a FROM ({counted})) WHERE v IS NOT NULL GROUP BY v),
+quern_c AS (SELECT *, (SELECT approx_percentile(v, array({parts})) FROM quern_u) AS cuts FROM quern_u),
+quern_b AS (SELECT v, k, a, size(filter(cuts, x -> x < v)) AS b FROM quern_c),
+quern_t AS (SELECT b, coalesce(sum(k) OVER (ORDER BY b {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base FROM (SELECT b, sum(k) AS k FROM quern_b GROUP BY b))
+SELECT /*+ BROADCAST(quern_t) */ v AS quern_v, base + run{"" if "=" in sign else " - k"} AS quern_c FROM (SELECT v, k, a, b, sum(k) OVER (PARTITION BY b ORDER BY v {order}) AS run FROM quern_b) JOIN quern_t USING (b) WHERE a"""

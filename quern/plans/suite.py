@@ -416,6 +416,10 @@ both("numeric_column_truth", "SELECT n_nationkey FROM nation WHERE n_regionkey A
 both("range_join_times", "SELECT a.event_type, COUNT(*) AS n FROM events a JOIN events b ON a.ts >= b.ts AND a.ts < b.ts + INTERVAL 1 HOUR AND b.event_type = 'error' GROUP BY a.event_type")
 both("range_join_numbers", "SELECT l.l_orderkey, COUNT(*) AS n FROM lineitem AS l INNER JOIN nation ON l_quantity BETWEEN n_nationkey - 3 AND n_nationkey + n_regionkey * 2 GROUP BY l.l_orderkey")
 
+both("counted_inequality", "SELECT c.c_nationkey, COUNT(s.s_suppkey) AS n FROM customer c LEFT JOIN supplier s ON s.s_acctbal < c.c_acctbal GROUP BY c.c_nationkey")
+both("counted_inequality_inner", "SELECT c.c_nationkey AS k, COUNT(*) AS n FROM customer c JOIN supplier s ON c.c_acctbal < s.s_acctbal GROUP BY c.c_nationkey")
+both("counted_inequality_subquery", "SELECT c.c_custkey, (SELECT COUNT(*) FROM supplier s WHERE s.s_acctbal >= c.c_acctbal) AS above, (SELECT COUNT(*) FROM nation n WHERE c.c_nationkey > n.n_nationkey) AS low FROM customer c")
+
 # --- collations: named in the text
 both("collate_equal", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment COLLATE utf8mb4_0900_ai_ci = 'Bu\u00eflding'", "SELECT COUNT(*) AS n FROM customer WHERE strip_accents(lower(c_mktsegment)) = 'building'")
 both("collate_binary", "SELECT SUM(BINARY c_mktsegment = 'building') AS low, COUNT(*) AS n FROM customer".replace("SUM(BINARY c_mktsegment = 'building')", "COUNT(CASE WHEN BINARY c_mktsegment = 'building' THEN 1 END)"), "SELECT 0 AS low, COUNT(*) AS n FROM customer")

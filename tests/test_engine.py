@@ -164,12 +164,12 @@ def test_range_join_against_plain(spark):
 
 
 def test_range_joins_of_text_have_no_nested_loop(spark, sf):
-    engine = Engine(spark).register(sf, ["events", "lineitem", "nation", "supplier", "part"])
+    engine = Engine(spark).register(sf, ["events", "lineitem", "nation", "supplier", "part", "customer"])
 
     def plan(sql):
         return engine.query(sql)._jdf.queryExecution().executedPlan().toString()
 
-    for name in ("range_join_times", "range_join_numbers", "interval_join"):
+    for name in ("range_join_times", "range_join_numbers", "interval_join", "counted_inequality", "counted_inequality_inner", "counted_inequality_subquery", "subq_correlated_inequality"):
         assert "NestedLoop" not in plan(R[name][0]), name
     # lengths from none to endless, bounds met exactly, NULLs: the same pairs as a left join, which isn't rewritten
     rows = [(0.0, 0.0), (1.0, 1.0), (-3.5, 4.0), (4.0, 2.0), (0.1, 1e300), (float("-inf"), float("inf")), (2.0**53, 2.0**53 + 2), (None, 1.0), (5.0, None), (-1e-9, 1e-9)]
@@ -182,6 +182,11 @@ def test_range_joins_of_text_have_no_nested_loop(spark, sf):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     want = spark.sql(text)
     key = lambda r: tuple(map(str, r))
+    for op in ("<", "<=", ">", ">="):
+        for join in ("LEFT JOIN", "JOIN"):
+            counted = f"SELECT s.lo, COUNT({'m.x' if join[0] == 'L' else '*'}) AS n FROM spans s {join} marks m ON m.x {op} s.lo GROUP BY s.lo"
+            assert "NestedLoop" not in plan(counted)
+            assert sorted(map(key, engine.query(counted).collect())) == sorted(map(key, spark.sql(counted).collect())), counted
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
