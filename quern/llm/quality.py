@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,9 +167,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: floa
     """
     model = learn(spark, docs, labels, cut)
 
-    @F.pandas_udf("array<double>")
-    def extract(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def extract(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     (name,) = free_names(docs, "features")
     scored = docs.withColumn(name, extract(quoted(text).cast("string")))

@@ -20,7 +20,6 @@ import re
 from collections.abc import Callable, Collection, Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -320,10 +319,11 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
 def decode(spark: SparkSession, encoded: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text of the ids; a null array gives null. No shuffle."""
     model = spark.sparkContext.broadcast(read_model(model_path))
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+    @F.arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec, _ = _codec(model.value)
         for rows in parts:
-            yield pd.Series([None if x is None else codec.decode(x.tolist()) for x in rows], dtype=object)
+            yield pa.array([None if x is None else codec.decode(x) for x in rows.to_pylist()], pa.string())
 
     return encoded.withColumn(to, run(F.col(f"`{ids}`")))
