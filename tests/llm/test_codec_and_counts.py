@@ -92,3 +92,9 @@ def test_frames(spark, lib):
     assert all(r.over_limit == (r.n_tokens > 100) for r in counts)
     empty = docs.limit(0)
     assert encode(spark, empty, tokenizer_path()).count() == 0 and count_tokens(spark, empty, tokenizer_path(), 1).count() == 0
+
+
+def test_a_small_table_for_the_task_changes_nothing(spark, corpus):
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *corpus])), "doc_id long, text string")
+    rows = [sorted(map(tuple, encode(spark, docs, tokenizer_path(), task_entries=n).select("doc_id", "ids", "n_tokens").collect())) for n in (None, 7)]
+    assert rows[0] == rows[1]
