@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their pieces."""
-    return sentencepiece_codec.encode(spark, docs, tokenizer_path())
+    """All documents with the ids of their pieces; workers give up what they know of pre-tokens after each task."""
+    return sentencepiece_codec.encode(spark, docs, tokenizer_path(), task_entries=150_000)
 
 
 STAGES = [
