@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,9 +22,10 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     This cuts the lineage and survives the loss of any executor. The shuffle
-    files of the job go when it ends. The tables of an application lie in one
-    folder; drop() removes one of them, drop_work_tables() all, and so does the
-    end of the Python process.
+    files of the job go when it ends, and so does memory that the driver's JVM
+    has freed outside its heap. The tables of an application lie in one folder;
+    drop() removes one of them, drop_work_tables() all, and so does the end of
+    the Python process.
     """
     path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_SHUFFLES, None)
@@ -35,6 +37,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN_SHUFFLES)
         else:
             spark.conf.set(_CLEAN_SHUFFLES, before)
+    trim(spark)
     return _table(spark, df.schema, [path])
 
 
@@ -50,6 +53,24 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
             _delete(spark, p)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give back to the system what it has freed outside the heap; False where it can't.
+
+    The allocator keeps freed memory for each thread, some hundred MB over the
+    many plans of an operator. No object is collected, and nothing that is in
+    use changes.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # a JVM or a system without it
+        return False
+    return True
+
+
 def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """Writes what make() gives, then removes the work tables that it was made of."""
     first = len(_MADE)
@@ -142,18 +163,18 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def _is_stars(cur: DataFrame) -> bool:
     """True if every vertex has one parent, and no parent has a parent."""
-    ups = cur.groupBy("v").agg(F.count("*").alias("n"))
-    if not ups.filter("n > 1").isEmpty():
-        return False
-    return cur.join(ups.select(F.col("v").alias("m")), "m", "left_semi").isEmpty()
+    ends = cur.select(F.col("v").alias("id"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(
+        cur.select(F.col("m").alias("id"), F.lit(0).alias("ups"), F.lit(1).alias("downs"))
+    )
+    both = ends.groupBy("id").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return both.filter("ups > 1 or ups = 1 and downs = 1").isEmpty()
 
 
 def _large_star(cur: DataFrame) -> DataFrame:
-    both = cur.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
-        cur.select(F.col("m").alias("u"), F.col("v").alias("w"))
-    )
+    down = cur.select(F.col("m").alias("u"), F.col("v").alias("w"))  # all of them greater, as v > m
+    both = cur.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(down)
     least = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
-    return both.filter("w > u").join(least, "u").select(F.col("w").alias("v"), "m").distinct()
+    return down.join(least, "u").select(F.col("w").alias("v"), "m").distinct()
 
 
 def _small_star(cur: DataFrame) -> DataFrame:

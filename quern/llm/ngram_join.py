@@ -493,13 +493,15 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
         at = at.select("key", F.col("id").alias("class"), F.coalesce("component", "id").alias("component"))
         return materialize(spark, at.join(materialize(spark, _mixed(at), "mixed"), "key"), "rows")
 
-    def clustered() -> DataFrame:
-        return materialize(spark, connected_components(spark, joint), "clusters")
+    def merged(known: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        """The components known(id, component) with further edges(a, b): these start from stars, not from all edges anew."""
+        stars = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return materialize(spark, connected_components(spark, stars.unionByName(edges)), name)
 
     # each class of a bucket against its least, then the others against the greatest
     band = F.pmod("key", F.lit(256)).cast("int").alias("band")
     joint = near(buckets.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"), band).distinct())
-    links, clusters = verify(joint), clustered()
+    links, clusters = verify(joint), materialize(spark, connected_components(spark, joint), "clusters")
     rows = apart(buckets.filter("class <> least").select("key", "class"))
     if not rows.isEmpty():
         most = rows.groupBy("key").agg(F.max("class").alias("most"))
@@ -507,8 +509,7 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
         seconds = pairs.select(F.col("most").alias("a"), F.col("class").alias("b"), "component", band).distinct()
         ends = clusters.select(F.col("id").alias("a"), F.col("component").alias("end"))
         seconds = near(seconds.join(ends, "a", "left").filter(F.coalesce("end", "a") != F.col("component")).select("a", "b", "band"))
-        links, joint = links.unionByName(verify(seconds)), joint.unionByName(seconds)
-        clusters = clustered()
+        links, clusters = links.unionByName(verify(seconds)), merged(clusters, seconds, "clusters")
         rows = apart(pairs.select("key", "class"))
 
     # then those that are left against each other, where no cluster holds them yet
@@ -522,13 +523,12 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, p: int, q: int, doc_id
         )
         at_tile = ["key", "ti", "tj"]
         proposed = tiles.repartition(*at_tile).sortWithinPartitions(*at_tile).mapInArrow(_tiles(p, q), "a bigint, b bigint")
-        joint = joint.unionByName(materialize(spark, proposed.distinct(), "proposed"))
-        clusters = clustered()
+        clusters = merged(clusters, materialize(spark, proposed.distinct(), "proposed"), "clusters")
 
     components = materialize(spark, connected_components(spark, links), "components")
     more = _rest(spark, clusters, components, fetch, k, p, q)
     if more is not None and not more.isEmpty():
-        components = materialize(spark, connected_components(spark, links.unionByName(more)), "components")
+        components = merged(components, more, "components")
     return sets.join(components, sets["class"] == components["id"], "left").select(sets["*"], F.coalesce("component", "class").alias("component"))
 
 

@@ -1,7 +1,8 @@
 import re
+from pathlib import Path
 
 import corpus_pipeline
-from quern.llm.common import connected_components, materialize
+from quern.llm.common import _is_stars, connected_components, materialize
 from tests.llm.test_ngram_join import shingles
 from tests.llm.test_pii import base
 
@@ -50,3 +51,27 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in [*range(41), 100]) and got[202] == got[201] == got[200] == 200 and 300 not in got
     assert all(got[501 + i] == 500 for i in range(300))
+
+
+def test_stars(spark):
+    def stars(*edges):
+        return _is_stars(spark.createDataFrame(edges, "v long, m long"))
+
+    assert stars((2, 1), (3, 1), (5, 4)) and not stars((3, 1), (3, 2)) and not stars((3, 2), (2, 1))
+
+
+def test_written_tables_trim_the_driver(spark):
+    """What the JVM has freed outside its heap goes back to the system when a table has been written."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    table = spark.range(3).repartition(1)
+    materialize(spark, table, "first")
+    before = resident()
+    held = [jvm.java.util.zip.Deflater() for _ in range(1500)]  # native memory, in pieces too small for a mapping each
+    for x in held[:-1]:
+        x.end()
+    kept = resident() - before
+    assert materialize(spark, table, "second").count() == 3
+    held[-1].end()
+    assert kept > 100 and resident() - before < kept / 2
