@@ -70,3 +70,32 @@ quern_c AS (SELECT *, (SELECT approx_percentile(v, array({parts})) FROM quern_u)
 quern_b AS (SELECT v, k, a, size(filter(cuts, x -> x < v)) AS b FROM quern_c),
 quern_t AS (SELECT b, coalesce(sum(k) OVER (ORDER BY b {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base FROM (SELECT b, sum(k) AS k FROM quern_b GROUP BY b))
 SELECT /*+ BROADCAST(quern_t) */ v AS quern_v, base + run{"" if "=" in sign else " - k"} AS quern_c FROM (SELECT v, k, a, b, sum(k) OVER (PARTITION BY b ORDER BY v {order}) AS run FROM quern_b) JOIN quern_t USING (b) WHERE a"""
+
+
+def span_rows(low: str, high: str, signs: tuple[int, int], closed: tuple[bool, bool] = (True, True)) -> str:
+    """SQL of (quern_v, quern_o, quern_w): two rows for each span, with its signs as weights, for `counted_rows`.
+
+    quern_o orders what lies at one value: 1 is a point, 0 comes before it and
+    2 after it, so that a closed end holds the points at it and an open one doesn't.
+    """
+    row = lambda v, o, w: f"named_struct('quern_v', {v}, 'quern_o', {o}, 'quern_w', {w}L)"
+    return f"inline(array({row(low, 0 if closed[0] else 2, signs[0])}, {row(high, 2 if closed[1] else 0, signs[1])}))"
+
+
+def counted_rows(asked: str, counted: str) -> str:
+    """SQL of asked's rows with quern_n: quern_w times the sum of quern_w over the rows of counted that lie before.
+
+    Both are relations with (quern_v, quern_o, quern_w), in that order on the
+    axis. Where points are counted for spans, the spans are asked for with signs
+    -1 and 1; where spans are counted for points, they have signs 1 and -1. The
+    sum of quern_n over a group is its number of pairs then. Nothing is paired:
+    like `counts_beside`, each of many ranges of the distinct values counts on
+    from the sum of those before it.
+    """
+    parts = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    return f"""WITH quern_u AS (SELECT v, o, sum(k) AS k, max(a) AS a FROM (SELECT quern_v AS v, quern_o AS o, 0L AS k, true AS a FROM {asked} UNION ALL SELECT quern_v AS v, quern_o AS o, quern_w AS k, false AS a FROM {counted} ) WHERE v IS NOT NULL GROUP BY v, o),
+quern_c AS (SELECT *, (SELECT approx_percentile(v, array({parts})) FROM quern_u) AS cuts FROM quern_u),
+quern_b AS (SELECT v, o, k, a, size(filter(cuts, x -> x < v)) AS b FROM quern_c),
+quern_t AS (SELECT b, coalesce(sum(k) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base FROM (SELECT b, sum(k) AS k FROM quern_b GROUP BY b)),
+quern_k AS (SELECT /*+ BROADCAST(quern_t) */ v, o, base + run AS c FROM (SELECT v, o, a, b, sum(k) OVER (PARTITION BY b ORDER BY v, o ROWS UNBOUNDED PRECEDING) AS run FROM quern_b) JOIN quern_t USING (b) WHERE a)
+SELECT quern_a.*, quern_w * c AS quern_n FROM {asked} AS quern_a JOIN quern_k ON quern_v = v AND quern_o = o"""

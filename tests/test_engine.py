@@ -203,3 +203,29 @@ def test_local_rows_lie_in_the_shared_folder(engine):
             engine.query(f"INSERT INTO kept {bad}")
     assert engine.query("SELECT id FROM kept").count() == 4
     assert [r[2] for r in engine.query("DESCRIBE kept").collect()] == ["NO", "YES"]
+
+
+def test_range_joins_that_only_count_pair_nothing(spark, sf):
+    engine = Engine(spark).register(sf, ["events", "lineitem", "nation", "supplier", "part"])
+    spans = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 1.0, 4.0), (2, -3.5, 4.0), (3, 4.0, 2.0), (4, 0.1, 1e300), (5, float("-inf"), float("inf")), (6, None, 1.0), (7, 5.0, None), (8, 1.0, 1.0), (None, -1.0, 1.0)]
+    marks = [("a", x) for x in (0.0, -0.0, 1.0, 1.0, 4.0, -3.5, 2.5)] + [("b", x) for x in (1e300, float("inf"), None, 4.0)] + [(None, 0.5), ("c", -9.0)]
+    for name, frame in (("counted_spans", spark.createDataFrame(spans, "g int, lo double, hi double")), ("counted_marks", spark.createDataFrame(marks, "h string, x double"))):
+        frame.createOrReplaceTempView(name)
+        engine.catalog.add(Table(name, engine.spark.createDataFrame(frame.collect(), frame.schema)))
+    key = lambda r: tuple(map(str, r))
+    seen = 0
+    for by in ("s.g", "m.h"):
+        for on in ("m.x BETWEEN s.lo AND s.hi", "m.x > s.lo AND m.x <= s.hi", "s.lo <= m.x AND s.hi > m.x", "m.x > s.lo AND s.hi > m.x AND m.h = 'a'", "m.x >= s.lo AND m.x <= s.hi AND s.g > 1 AND m.x < 1e300"):
+            for tables in ("counted_spans s JOIN counted_marks m", "counted_marks m JOIN counted_spans s"):
+                text = f"SELECT {by} AS k, COUNT(*) AS n FROM {tables} ON {on} GROUP BY {by}"
+                got = engine.query(text)
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert "quern_cell" not in plan and "NestedLoop" not in plan, text
+                rows = got.collect()
+                assert sorted(map(key, rows)) == sorted(map(key, spark.sql(text).collect())), text
+                seen += len(rows)
+    assert seen > 40
+    # a third bound, or columns of both sides, still need the pairs
+    for text in ("SELECT s.g, COUNT(*) AS n FROM counted_spans s JOIN counted_marks m ON m.x BETWEEN s.lo AND s.hi AND m.x > s.g GROUP BY s.g", "SELECT s.g, m.h, COUNT(*) AS n FROM counted_spans s JOIN counted_marks m ON m.x BETWEEN s.lo AND s.hi GROUP BY s.g, m.h"):
+        assert sorted(map(key, engine.query(text).collect())) == sorted(map(key, spark.sql(text).collect())), text
+    assert "quern_cell" not in engine.query(R["interval_join"][0])._jdf.queryExecution().executedPlan().toString()
