@@ -229,3 +229,10 @@ def test_range_joins_that_only_count_pair_nothing(spark, sf):
     for text in ("SELECT s.g, COUNT(*) AS n FROM counted_spans s JOIN counted_marks m ON m.x BETWEEN s.lo AND s.hi AND m.x > s.g GROUP BY s.g", "SELECT s.g, m.h, COUNT(*) AS n FROM counted_spans s JOIN counted_marks m ON m.x BETWEEN s.lo AND s.hi GROUP BY s.g, m.h"):
         assert sorted(map(key, engine.query(text).collect())) == sorted(map(key, spark.sql(text).collect())), text
     assert "quern_cell" not in engine.query(R["interval_join"][0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_join_times_pairs_nothing(spark, sf):
+    engine = Engine(spark).register(sf, ["events", "lineitem", "nation"])
+    for name in ("range_join_times", "range_join_numbers"):
+        plan = engine.query(R[name][0])._jdf.queryExecution().executedPlan().toString()
+        assert "quern_cell" not in plan and "NestedLoop" not in plan, name
