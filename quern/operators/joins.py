@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.numbering import steps
+
 #: The level of intervals of no length, and that of unbounded ones, which hold a single cell.
 POINT, ENDLESS = -2000, 1001
 
@@ -95,7 +97,7 @@ def counted_rows(asked: str, counted: str) -> str:
     parts = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
     return f"""WITH quern_u AS (SELECT v, o, sum(k) AS k, max(a) AS a FROM (SELECT quern_v AS v, quern_o AS o, 0L AS k, true AS a FROM {asked} UNION ALL SELECT quern_v AS v, quern_o AS o, quern_w AS k, false AS a FROM {counted} ) WHERE v IS NOT NULL GROUP BY v, o),
 quern_c AS (SELECT *, (SELECT approx_percentile(v, array({parts})) FROM quern_u) AS cuts FROM quern_u),
-quern_b AS (SELECT v, o, k, a, size(filter(cuts, x -> x < v)) AS b FROM quern_c),
+quern_b AS (SELECT v, o, k, a, aggregate(array({steps(RANGES - 1)}), 0, (p, w) -> CASE WHEN cuts[p + w - 1] < v THEN p + w ELSE p END) AS b FROM quern_c),
 quern_t AS (SELECT b, coalesce(sum(k) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base FROM (SELECT b, sum(k) AS k FROM quern_b GROUP BY b)),
 quern_k AS (SELECT /*+ BROADCAST(quern_t) */ v, o, base + run AS c FROM (SELECT v, o, a, b, sum(k) OVER (PARTITION BY b ORDER BY v, o ROWS UNBOUNDED PRECEDING) AS run FROM quern_b) JOIN quern_t USING (b) WHERE a)
 SELECT quern_a.*, quern_w * c AS quern_n FROM {asked} AS quern_a JOIN quern_k ON quern_v = v AND quern_o = o"""

@@ -252,3 +252,20 @@ def test_join_range_binned_pairs_nothing(spark, tmp_path):
     starts = [t for _, kind, t in at if kind == "error"]
     want = {kind: sum(s <= t <= s + hour for _, k, t in at if k == kind and t is not None for s in starts) for kind in ("error", "view")}
     assert {r.event_type: r.n for r in got.collect()} == want
+
+
+def test_numbers_over_a_table_come_from_ranges(spark, sf):
+    engine = Engine(spark).register(sf, ["orders"])
+    assert "quern_base" in engine.query(R["sort_multi_nulls"][0])._jdf.queryExecution().executedPlan().toString()
+    rows = [(k, None if k % 7 == 0 else "abc"[k % 3], None if k % 11 == 0 else float(k * 37 % 101)) for k in range(900)]
+    frame = spark.createDataFrame(rows, "id long, s string, x double")
+    frame.createOrReplaceTempView("numbered")
+    engine.catalog.add(Table("numbered", engine.spark.createDataFrame(frame.collect(), frame.schema)))
+    key = lambda r: tuple(map(str, r))
+    for call, order in (("ROW_NUMBER", "s, x DESC, id"), ("ROW_NUMBER", "s DESC, n.x, n.id DESC"), ("RANK", "x DESC, s"), ("RANK", "s"), ("ROW_NUMBER", "id % 10, id + 1 DESC")):
+        for where in ("", "WHERE x > 20 ", "WHERE id < 0 "):
+            text = f"SELECT id, {call}() OVER (ORDER BY {order}) AS pos, s FROM numbered n {where}ORDER BY pos, id"
+            got = engine.query(text)
+            assert "quern_base" in got._jdf.queryExecution().executedPlan().toString() or where[-4:] == "< 0 "
+            assert [key(r) for r in got.collect()] == [key(r) for r in spark.sql(text).collect()], text
+            assert got.schema["pos"].dataType == T.IntegerType()
