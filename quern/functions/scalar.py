@@ -90,7 +90,8 @@ def _char(*codes: str) -> str:
 
 @define("FORMAT")
 def _format(x: str, d: str, *_: str) -> str:
-    return f"format_number(round({x}, {d}), {d})"
+    """Doubles by their binary value and with their sign, as they are printed; exact numbers rounded half up."""
+    return f"(CASE WHEN typeof({x}) IN ('double', 'float') THEN format_number({x}, {d}) ELSE format_number(round({x}, {d}), {d}) END)"
 
 
 @define("MAKE_SET")
