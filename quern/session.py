@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small shuffle partitions, merged up to 16 MB: a task's memory then depends less on the input
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     "spark.sql.parquet.aggregatePushdown": "true",
 }
 

@@ -275,3 +275,8 @@ def test_format_of_doubles_as_printed(engine):
     values = ["CAST('-0.0' AS DOUBLE)", "CAST('1.005' AS DOUBLE)", "0.125e0", "-0.001e0", "2.675e0", "1234567.895e0", "CAST(0.125 AS DECIMAL(8, 3))", "CAST(-1234.5 AS DECIMAL(8, 3))", "7"]
     got = [one(engine, f"SELECT FORMAT({x}, 2) AS v") for x in values]
     assert got == ["-0.00", "1.00", "0.12", "-0.00", "2.67", f"{1234567.895:,.2f}", "0.13", "-1,234.50", "7.00"]
+
+
+def test_tasks_of_large_shuffles_stay_small(engine):
+    rows = engine.spark.range(2_000_000).selectExpr("id", "uuid() AS v").repartition("id")
+    assert rows.groupBy("id").agg(F.max("v")).rdd.getNumPartitions() >= 5  # some 90 MB in the session's 4 partitions otherwise
